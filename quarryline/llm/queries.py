@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import bpe, embeddings, langid, secrets, simhash, substring, urlfilter, winnow
+from quarryline.llm import bpe, embeddings, langid, lines, quality, secrets, simhash, substring, urlfilter, winnow
 from quarryline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op1_substring"] = substring.SQL
 
 
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op3_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(read_table(spark, sf_dir, "pages"))
@@ -57,6 +62,14 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op4_embeddings"] = embeddings.SQL
 
 
+@query
+def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op5_line_frequency"] = lines.SQL
+
+
 @query
 def op6_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination_digests(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -11,15 +11,22 @@ fewer, wider groups, so the buckets stay small.
 
 Each distinct fingerprint goes into the search once, whatever the number of its
 documents. It is sent under its key in each group and, as a visitor, under the
-keys within the threshold. A key's rows are compared as arrays, and only a
-spanning star of the links found is returned, never all pairs. Keys with more
+keys within the threshold, packed by ranges of keys. A key's rows are compared as
+arrays, and only a spanning star of the links found is returned, never all pairs.
+Ranges of far more rows than meant are taken apart by single keys; keys with more
 rows than ``HOT`` are dealt again by key and by further groups of the bits left,
 in which two fingerprints within the radius agree on one group, until no key is hot.
 
+``near_duplicates`` links at ``RADIUS`` bits over three-word shingles.
+``keep_one`` is for similar texts, 0.8 or more over five-word shingles: there each
+text has a second, independent fingerprint; both are searched at ``NEAR`` bits,
+and a pair links if no more than ``BOTH`` of all 128 bits differ, which is what
+that similarity leads to on average. The README has its recall.
+
 A null text counts as empty: fingerprint zero, linked like any other. Rows with
 a null id take part, but name no component; a component of such rows alone has a
-null id. Repeated rows give repeated rows. Further columns are kept by
-``keep_one`` and passed over by ``near_duplicates``.
+null id. Repeated rows give repeated rows in ``near_duplicates``, and one of them
+stays in ``keep_one``, which keeps all columns.
 """
 
 from __future__ import annotations
@@ -34,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import U64, free_shuffles, mix, stage
+from quarryline.llm.common import U64, doc_key, free_shuffles, mix, stage
 from quarryline.llm.graph import components, local_roots
 from quarryline.llm.xxh import xxh64
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints from which correlations and candidate counts are estimated.
 SAMPLE = 20_000
+#: ``keep_one``: words of a shingle, bits of the searches and of both fingerprints together.
+WIDE, NEAR, BOTH = 5, 8, 20
 #: Rows of one key above which it is dealt again, and rows that one group of keys is meant to hold.
 HOT, GROUP = 4_096, 1 << 18
 #: Links that a task holds before it reduces them to spanning stars.
@@ -59,9 +68,10 @@ def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The fingerprint of each text, zero for texts without words."""
-    out = np.zeros(len(texts), U64)
+def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of each text, zero for texts without words; the other is left zero
+    unless asked for. It comes from the same hashes, mixed."""
+    out, other = np.zeros(len(texts), U64), np.zeros(len(texts), U64)
     part: list[tuple[int, bytes]] = []
     size = 0
     for i, text in enumerate(texts):
@@ -72,7 +82,7 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -
         if size >= PART or (part and i == len(texts) - 1):
             rows = np.array([k for k, _ in part])
             data = np.frombuffer(b"\n".join(x for _, x in part), np.uint8)
-            spaces = np.flatnonzero(data <= 32)
+            spaces = np.flatnonzero((data == 32) | (data == 10))
             starts, ends = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(data)]))
             borders = np.flatnonzero(data[spaces] == 10) + 1  # words before each further text
             first = np.concatenate(([0], borders))
@@ -81,25 +91,27 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -
             before = np.concatenate(([0], np.cumsum(n)[:-1]))
             at = np.repeat(first - before, n) + np.arange(int(n.sum()))
             last = at + np.repeat(np.minimum(words, shingle), n) - 1
-            out[rows] = _majority(xxh64(data, starts[at], ends[last], seed), before)
+            hashes = xxh64(data, starts[at], ends[last], seed)
+            out[rows] = _majority(hashes, before)
+            if second:
+                other[rows] = _majority(mix(hashes + U64(1)), before)
             part, size = [], 0
-    return out
+    return out, other
 
 
-def with_fingerprints(docs: DataFrame, column: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(*keep, fp): the fingerprint as a signed long."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(column).alias("_text"))
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, second: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*keep, fp, other): the fingerprints of ``text`` as signed longs."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[np.ndarray] = [np.zeros(0, U64)]
-            for at in range(0, batch.num_rows, 1000):
-                found.append(fingerprints([(x.as_py() or "").encode() for x in batch.column(len(keep)).slice(at, 1000)], shingle))
-            fp = np.concatenate(found).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], [*keep, "fp"])
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                fps = fingerprints([(x.as_py() or "").encode() for x in part.column(len(keep))], shingle, second=second)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(x.view(np.int64)) for x in fps]], [*keep, "fp", "other"])
 
-    return rows.mapInArrow(run, f"{kinds}, fp long")
+    return rows.mapInArrow(run, f"{kinds}, fp long, other long")
 
 
 # ---------------------------------------------------------------- plan
@@ -183,25 +195,82 @@ def _flips(n: int, t: int) -> tuple[int, ...]:
     return tuple(sum(1 << b for b in c) for j in range(1, t + 1) for c in combinations(range(n), j))
 
 
-def _send(fps: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
-    """(key, fp, home, used): each fingerprint under its keys; ``used`` are the bits behind the key."""
+def node_ids(fp: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """One id per pair of fingerprints: the first itself if there is no second."""
+    with np.errstate(over="ignore"):
+        return np.where(other == 0, fp, mix(fp + mix(other) * U64(0x9E3779B97F4A7C15))).view(np.int64)
+
+
+class Probes:
+    """The keys under which a fingerprint is sent: per code its group of bits and the bits flipped."""
+
+    def __init__(self, chosen: list[tuple[list[int], int]]):
+        self.chosen = chosen
+        self.codes = [(k, flip) for k, (bits, t) in enumerate(chosen) for flip in (0, *_flips(len(bits), t))]
+
+    def keys(self, fp: np.ndarray, k: int, flips: np.ndarray) -> np.ndarray:
+        return mix(mix(_extract(fp, self.chosen[k][0]) ^ flips) ^ U64(k + 1))
+
+    def used(self, k: int) -> int:
+        return sum(1 << b for b in self.chosen[k][0])
+
+
+PACKED = "g int, n long, fp binary, other binary, code binary"
+ROWS = "key long, fp long, other long, home boolean, used long"
+
+
+def _send(nodes: DataFrame, probes: Probes, groups: int, swap: bool) -> DataFrame:
+    """Packed rows: fingerprints and codes by the range of their key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(g << 64) // groups for g in range(1, groups)], U64)
+        for batch in batches:
+            both = [np.asarray(batch.column(i)).view(U64) for i in ((1, 0) if swap else (0, 1))]
+            for at in range(0, batch.num_rows, 1 << 13):
+                fp, other = (x[at : at + (1 << 13)] for x in both)
+                m = len(fp)
+                keys = np.concatenate([probes.keys(fp, k, U64(flip)) for k, flip in probes.codes])
+                order = np.argsort(keys)
+                cut = np.concatenate(([0], np.searchsorted(keys[order], edges), [len(keys)]))
+                code, row = order // m, order % m
+                full = np.flatnonzero(np.diff(cut))
+                parts = [slice(cut[g], cut[g + 1]) for g in full.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(full.astype(np.int32)), pa.array([s.stop - s.start for s in parts], pa.int64()),
+                        *[pa.array([v[row[s]].tobytes() for s in parts], pa.binary()) for v in (fp, other)],
+                        pa.array([code[s].astype(np.int32).tobytes() for s in parts], pa.binary()),
+                    ],
+                    ["g", "n", "fp", "other", "code"],
+                )
+
+    return nodes.select("fp", "other").mapInArrow(run, PACKED)
+
+
+def _unpack(table: pa.Table | pa.RecordBatch, probes: Probes) -> tuple[np.ndarray, ...]:
+    """(key, fp, other, home, group of bits) of all packed rows."""
+    fp, other, code = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("fp", U64), ("other", U64), ("code", np.int32)))
+    group = np.array([k for k, _ in probes.codes])[code]
+    flips = np.array([flip for _, flip in probes.codes], U64)[code]
+    key = np.empty(len(fp), U64)
+    for k in range(len(probes.chosen)):
+        own = np.flatnonzero(group == k)
+        key[own] = probes.keys(fp[own], k, flips[own])
+    return key, fp, other, flips == 0, group
+
+
+def _rows(packed: DataFrame, probes: Probes) -> DataFrame:
+    """Packed rows taken apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = np.asarray(batch.column(0)).view(U64)
-            for at in range(0, len(whole), 1 << 14):
-                fp = whole[at : at + (1 << 14)]
-                for k, (bits, t) in enumerate(chosen):
-                    own = _extract(fp, bits)
-                    used = sum(1 << b for b in bits)
-                    for flip in (0, *_flips(len(bits), t)):
-                        key = mix(own ^ U64(flip)) ^ mix(np.full(1, k + 1, U64))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(np.full(len(fp), flip == 0)), pa.array(np.full(len(fp), used, U64).view(np.int64))],
-                            ["key", "fp", "home", "used"],
-                        )
-
-    return fps.mapInArrow(run, "key long, fp long, home boolean, used long")
+            for i in range(batch.num_rows):
+                key, fp, other, home, group = _unpack(batch.slice(i, 1), probes)
+                used = np.array([probes.used(k) for k in range(len(probes.chosen))], U64)[group]
+                arrays = [pa.array(x.view(np.int64)) for x in (key, fp, other)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(home), pa.array(used.view(np.int64))], ["key", "fp", "other", "home", "used"])
+
+    return packed.mapInArrow(run, ROWS)
 
 
 def _deal_again(hot: DataFrame, radius: int) -> DataFrame:
@@ -209,28 +278,26 @@ def _deal_again(hot: DataFrame, radius: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, fp, used = (np.asarray(batch.column(i)).view(U64) for i in (0, 1, 3))
+            key, fp, other, used = (np.asarray(batch.column(i)).view(U64) for i in (0, 1, 2, 4))
             for u in np.unique(used).tolist():
                 rows = np.flatnonzero(used == U64(u))
                 left = [b for b in range(BITS) if not u >> b & 1]
-                for k in range(radius + 1):
-                    # The last round takes whole fingerprints apart, so no key stays hot for ever.
+                for k in range(min(radius + 1, len(left))):
                     bits = left[k :: radius + 1]
-                    now = U64(u | sum(1 << b for b in bits))
-                    fresh = mix(key[rows] + mix(_extract(fp[rows], bits) + U64(k + 1)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(fresh.view(np.int64)), pa.array(fp[rows].view(np.int64)), batch.column(2).take(pa.array(rows)), pa.array(np.full(len(rows), now, U64).view(np.int64))],
-                        ["key", "fp", "home", "used"],
-                    )
+                    now = np.full(len(rows), u | sum(1 << b for b in bits), U64)
+                    with np.errstate(over="ignore"):
+                        fresh = mix(key[rows] + mix(_extract(fp[rows], bits) + U64(k + 1)))
+                    arrays = [pa.array(x.view(np.int64)) for x in (fresh, fp[rows], other[rows])]
+                    yield pa.RecordBatch.from_arrays([*arrays, batch.column(3).take(pa.array(rows)), pa.array(now.view(np.int64))], ["key", "fp", "other", "home", "used"])
 
-    return hot.mapInArrow(run, "key long, fp long, home boolean, used long")
+    return hot.select("key", "fp", "other", "home", "used").mapInArrow(run, ROWS)
 
 
-def links_of_keys(key: np.ndarray, fp: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def links_of_keys(key: np.ndarray, fp: np.ndarray, other: np.ndarray, home: np.ndarray, radius: int, both: int, swap: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Star edges of the links between rows of one key, of which one at least is at home."""
-    order = np.lexsort((fp, key))
-    key, fp, home = key[order], fp[order], home[order]
-    nodes, number = np.unique(fp.view(np.int64), return_inverse=True)
+    order = np.lexsort((~home, key))  # a key's rows at home come first
+    key, fp, other, home = key[order], fp[order], other[order], home[order]
+    nodes, number = np.unique(node_ids(other, fp) if swap else node_ids(fp, other), return_inverse=True)
     root = np.arange(len(nodes))
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
@@ -241,68 +308,100 @@ def links_of_keys(key: np.ndarray, fp: np.ndarray, home: np.ndarray, radius: int
         a.clear()
         b.clear()
 
-    at = np.arange(max(0, len(key) - 1))
-    step = held = 1
+    end = np.searchsorted(key, key, "right")
+    at = np.flatnonzero(home)
+    step, held = 1, 0
     while len(at):
-        at = at[at + step < len(key)]
-        at = at[key[at] == key[at + step]]
-        near = at[(np.bitwise_count(fp[at] ^ fp[at + step]) <= radius) & (home[at] | home[at + step])]
+        at = at[at + step < end[at]]
+        differ = np.bitwise_count(fp[at] ^ fp[at + step])
+        near = at[differ <= radius]
+        if both > radius:
+            near = near[np.bitwise_count(fp[near] ^ fp[near + step]) + np.bitwise_count(other[near] ^ other[near + step]) <= both]
         a.append(number[near])
         b.append(number[near + step])
         held += len(near)
         if held > HELD:
             settle()
-            held = 1
+            held = 0
         step += 1
     settle()
-    other = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[other], nodes[root[other]]
+    linked = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[linked], nodes[root[linked]]
 
 
-def _links(sent: DataFrame, n: int, radius: int) -> DataFrame:
-    """(u, v): star edges per group of keys."""
-    groups = max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // GROUP))
+def _edge_table(links: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    return pa.table({"u": pa.array(links[0], pa.int64()), "v": pa.array(links[1], pa.int64())})
 
-    def run(table: pa.Table) -> pa.Table:
-        key, fp = (table.column(i).to_numpy().view(U64) for i in (1, 2))
-        u, v = links_of_keys(key, fp, table.column(3).to_numpy(), radius)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    grouped = sent.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"), "key", "fp", "home").groupBy("g")
-    return grouped.applyInArrow(run, "u long, v long")
+def search(nodes: DataFrame, radius: int = RADIUS, both: int | None = None, swap: bool = False, hot: int = HOT, group: int = GROUP) -> DataFrame:
+    """(u, v): edges over ``node_ids`` that connect distinct rows of (fp, other) as their links do.
 
-
-def search(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """(u, v): edges that connect distinct fingerprints within ``radius``, as their links do."""
-    n = fps.count()
-    sample = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(U64)
+    Rows link if their ``fp`` differ in at most ``radius`` bits and, where ``both`` is
+    given, both together in at most ``both``. ``swap``: search ``other`` instead.
+    """
+    spark, both = nodes.sparkSession, radius if both is None else both
+    n = nodes.count()
+    column = "other" if swap else "fp"
+    sample = nodes.select(F.col(column).alias("x")).orderBy(F.xxhash64("x")).limit(SAMPLE).toPandas()["x"].to_numpy(np.int64).view(U64)
     if n < 2:
-        return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
-    chosen = plan(sample, n, radius)
-    sent, rows = _send(fps, chosen), n * sum(1 + len(_flips(len(g), t)) for g, t in chosen)
-    found = None
+        return nodes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+    probes = Probes(plan(sample, n, radius))
+    rows = n * len(probes.codes)
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // group))
+
+    def of_packed(table: pa.Table) -> pa.Table:
+        key, fp, other, home, _ = _unpack(table, probes)
+        return _edge_table(links_of_keys(key, fp, other, home, radius, both, swap))
+
+    def of_rows(table: pa.Table) -> pa.Table:
+        key, fp, other = (table.column(name).to_numpy().view(U64) for name in ("key", "fp", "other"))
+        return _edge_table(links_of_keys(key, fp, other, table.column("home").to_numpy(), radius, both, swap))
+
+    packed = _send(nodes, probes, groups, swap)
+    large = stage(packed.groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") > 4 * group).select("g"))
+    if large.isEmpty():
+        return packed.groupBy("g").applyInArrow(of_packed, "u long, v long")
+    found = packed.join(large, "g", "left_anti").groupBy("g").applyInArrow(of_packed, "u long, v long")
+    sent = stage(_rows(packed.join(large, "g", "left_semi"), probes))
     while True:
         big = stage(sent.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot).select("key"))
-        again = not big.isEmpty()
-        links = _links(sent.join(big, "key", "left_anti") if again else sent, rows, radius)
-        found = links if found is None else found.union(links)
-        if not again:
+        calm = sent.join(big, "key", "left_anti")
+        part = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g")
+        found = found.union(calm.select(part, "key", "fp", "other", "home").groupBy("g").applyInArrow(of_rows, "u long, v long"))
+        if big.isEmpty():
             return found
-        sent = stage(_deal_again(sent.join(big, "key", "left_semi").select("key", "fp", "home", "used").filter(F.col("used") != -1), radius))
-
-
-def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, root) for the fingerprints that are linked to a smaller one."""
-    return components(search(fps, radius)).toDF("fp", "root")
+        sent = stage(_deal_again(sent.join(big, "key", "left_semi").filter(F.col("used") != -1), radius))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row."""
-    rows = stage(with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("text")), shingle=shingle))
-    firsts = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = classes(firsts.select("fp"), radius)
+    rows = stage(with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle))
+    firsts = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("other").alias("other")))
+    roots = components(search(firsts, radius)).toDF("fp", "root")
     placed = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
     free_shuffles(docs.sparkSession)
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, near: int = NEAR, both: int = BOTH, shingle: int = WIDE) -> DataFrame:
+    """``docs`` with one document of each group of similar texts: the smallest id, nulls last."""
+
+    @F.pandas_udf("long")
+    def node(fp, other):
+        import pandas as pd
+
+        return pd.Series(node_ids(fp.to_numpy(np.int64).view(U64), other.to_numpy(np.int64).view(U64)))
+
+    keyed = docs.select(*doc_key(), "doc_id", "text")
+    rows = stage(with_fingerprints(keyed, shingle, True, ("k1", "k2", "doc_id")).withColumn("node", node("fp", "other")))
+    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("i"), "k1", "k2")
+    firsts = stage(rows.groupBy("node", "fp", "other").agg(F.min(order).alias("first")))
+    edges = stage(search(firsts, near, both).union(search(firsts, near, both, swap=True)))
+    roots = components(edges).toDF("node", "root")
+    winners = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    winners = winners.select("first.k1", "first.k2")
+    free_shuffles(docs.sparkSession)
+    whole = docs.select(*doc_key(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.join(winners, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")

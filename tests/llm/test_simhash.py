@@ -45,7 +45,7 @@ def test_fingerprints():
     rng = random.Random(2)
     texts = ["", " \n", "One", "one TWO", "a b c", "é É ß x\x0by z", "w " * 400]
     texts += [" ".join(rng.choices(["the", "Quick", "füchse", "x" * 600, "jumps\n"], k=rng.randrange(90))) for _ in range(60)]
-    assert simhash.fingerprints([t.encode() for t in texts]).tolist() == [brute_fp(t) for t in texts]
+    assert simhash.fingerprints([t.encode() for t in texts])[0].tolist() == [brute_fp(t) for t in texts]
 
 
 def flipped(rng, f, n):
@@ -63,12 +63,12 @@ def some_fps(seed, clusters, each, flips):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("radius", "hot"), [(3, 4096), (3, 40), (6, 4096), (0, 4096)])
-def test_search_finds_every_link(spark, radius, hot):
+@pytest.mark.parametrize(("radius", "hot", "group"), [(3, 4096, 1 << 18), (3, 60, 100), (6, 4096, 1 << 18), (8, 200, 1000), (0, 4096, 1 << 18)])
+def test_search_finds_every_link(spark, radius, hot, group):
     fps = some_fps(radius, 30, 25, 8)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    edges = simhash.search(df, radius, hot).collect()
+    df = spark.createDataFrame([(x, 0) for x in signed], "fp long, other long")
+    edges = simhash.search(df, radius, hot=hot, group=group).collect()
     index = {x: i for i, x in enumerate(signed)}
     root = graph.local_roots(np.array([index[e.u] for e in edges], int), np.array([index[e.v] for e in edges], int), len(fps))
     want = brute_classes(fps, radius)
@@ -112,3 +112,26 @@ def test_rows(spark):
         want.append((d, f"{f:016x}", min(ids, default=None)))
     assert found == sorted(want, key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, group = [], {}
+    for g in range(40):
+        base = fresh(rng.randrange(200, 500))
+        for k in range(rng.randrange(1, 5)):
+            words = list(base)
+            if k:
+                words[rng.randrange(len(words))] = "changed"  # five of hundreds of shingles
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(words), "s", k))
+    rows += [(1000, None, "s", 0), (1001, "", "s", 0), (None, "no id here", "s", 0), (2, rows[2][1], "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string, fp int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    want = {min(i for i, g in group.items() if g == k) for k in range(40)}
+    assert want <= set(ids) and {1000, None} <= set(ids) and 1001 not in ids
+    assert len(ids) == len(set(ids)) and len(set(ids) - want - {1000, None}) <= 3
+    assert simhash.keep_one(docs.limit(0)).count() == 0
