@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import expressions as X
+from quarryline.functions.joins import lookup_join
 
 KEY = ["source_binary_name", "function_name"]
 
@@ -48,9 +49,9 @@ def positive_map(df: DataFrame) -> DataFrame:
 def components(df: DataFrame) -> DataFrame:
     """(original_idx, group_id): the smallest index of the group, rows without a key alone.
 
-    The minimum is a partial aggregate joined back, which splits under skew, where
-    a window would hold a whole group in one task.
+    The minimum is a partial aggregate joined back under a salt; a window would hold
+    a whole group in one task, and rows without metadata make one very large group.
     """
     firsts = _keyed(df).groupBy(*KEY).agg(F.min("original_idx").alias("first"))
-    rows = df.select("original_idx", *KEY).join(firsts, KEY, "left")
+    rows = lookup_join(df.select("original_idx", *KEY), firsts, KEY, "original_idx")
     return rows.select("original_idx", F.coalesce("first", "original_idx").alias("group_id"))

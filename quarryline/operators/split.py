@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from quarryline.operators import grouping
 
 
+#: Original indices that one window over a group's rows may hold.
+STRETCH = 1 << 16
+
+
 def check_ratio(ratio: float) -> float:
     if not 0.1 <= ratio <= 0.99:
         raise ValueError("the ratio must lie between 0.1 and 0.99")
@@ -63,16 +67,19 @@ def reindex(members: DataFrame, groups: DataFrame) -> DataFrame:
     """(split, new_idx, original_idx, group_id, group_start, size); dense from 0 per split.
 
     Rows of a group are neighbours, in the order of group rank, then original index.
+    The rank inside a group has two levels too: original indices are dense, so a
+    stretch of ``STRETCH`` of them bounds what one window holds of a large group.
     """
     w = Window.partitionBy("split", "bucket").orderBy("rank0").rowsBetween(Window.unboundedPreceding, -1)
     placed = groups.withColumn("run", F.coalesce(F.sum("size").over(w), F.lit(0)))
     starts = placed.join(_offsets(groups, ["split"], "size"), ["split", "bucket"])
     starts = starts.select("group_id", "split", "size", (F.col("before") + F.col("run")).alias("group_start"))
-    inside = F.row_number().over(Window.partitionBy("group_id").orderBy("original_idx")) - 1
-    rows = members.withColumn("inside", inside).join(starts, "group_id")
-    return rows.select(
-        "split", (F.col("group_start") + F.col("inside")).alias("new_idx"), "original_idx", "group_id", "group_start", "size"
-    )
+    parts = members.withColumns({"bucket": F.floor(F.col("original_idx") / STRETCH), "one": F.lit(1)})
+    before = _offsets(parts, ["group_id"], "one").join(starts, "group_id")
+    inside = F.row_number().over(Window.partitionBy("group_id", "bucket").orderBy("original_idx")) - 1
+    rows = parts.withColumn("inside", inside).join(before, ["group_id", "bucket"])
+    new_idx = F.col("group_start") + F.col("before") + F.col("inside")
+    return rows.select("split", new_idx.alias("new_idx"), "original_idx", "group_id", "group_start", "size")
 
 
 def translate_map(index: DataFrame, positives: DataFrame) -> DataFrame:

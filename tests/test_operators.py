@@ -74,6 +74,16 @@ def test_null_keys_stay_alone(spark):
     assert {r.original_idx: r.group_id for r in grouping.components(df).collect()} == {0: 0, 3: 0, 5: 0, 1: 1, 2: 2, 4: 4, 6: 6}
 
 
+def test_large_group_is_ranked_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(split, "STRETCH", 7)
+    members = spark.range(100).select(F.col("id").alias("original_idx"), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(1)).alias("group_id"))
+    rows = split.reindex(members, split.group_split(members, 0.5)).collect()
+    large = sorted((r.original_idx, r.new_idx) for r in rows if r.group_id == 1)
+    assert [n for _, n in large] == list(range(large[0][1], large[0][1] + len(large)))
+    for name in ("train", "validation"):
+        assert sorted(r.new_idx for r in rows if r.split == name) == list(range(sum(r.split == name for r in rows)))
+
+
 def test_split_invariants(spark):
     members = spark.range(1000).select(F.col("id").alias("original_idx"), (F.col("id") - F.col("id") % 10).alias("group_id"))
     groups = split.group_split(members, 0.29)
