@@ -2,6 +2,7 @@
 
 Global ranks come from two levels: counts per hash bucket give offsets over 4,096
 rows, and ranks inside a bucket are a partitioned window. No task sees all groups.
+The offsets of hash buckets, 4,096 a split, are broadcast: the hash's prefix bounds them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.operators import grouping
+from quarryline.sources.staging import materialize
 
 
 #: Original indices that one window over a group's rows may hold.
@@ -37,7 +39,7 @@ def group_ranks(members: DataFrame, seed: int = 42) -> DataFrame:
     groups = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
     groups = groups.withColumns({"h": h, "one": F.lit(1)}).withColumn("bucket", F.substring("h", 1, 3))
     inside = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "group_id")) - 1
-    placed = groups.withColumn("inside", inside).join(_offsets(groups, [], "one"), "bucket")
+    placed = groups.withColumn("inside", inside).join(F.broadcast(_offsets(groups, [], "one")), "bucket")
     return placed.select("group_id", "size", "h", "bucket", (F.col("before") + F.col("inside")).alias("rank0"))
 
 
@@ -72,7 +74,7 @@ def reindex(members: DataFrame, groups: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("split", "bucket").orderBy("rank0").rowsBetween(Window.unboundedPreceding, -1)
     placed = groups.withColumn("run", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    starts = placed.join(_offsets(groups, ["split"], "size"), ["split", "bucket"])
+    starts = placed.join(F.broadcast(_offsets(groups, ["split"], "size")), ["split", "bucket"])
     starts = starts.select("group_id", "split", "size", (F.col("before") + F.col("run")).alias("group_start"))
     parts = members.withColumns({"bucket": F.floor(F.col("original_idx") / STRETCH), "one": F.lit(1)})
     before = _offsets(parts, ["group_id"], "one").join(starts, "group_id")
@@ -110,5 +112,7 @@ def pools(functions: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def split_dataset(functions: DataFrame, ratio: float = 0.9, seed: int = 42) -> DataFrame:
-    members = grouping.components(grouping.normalize_file_name(functions))
-    return reindex(members, group_split(members, ratio, seed))
+    """The index of a whole pool: see ``reindex``. Members and groups, a few numbers a row,
+    are written once, since the ranks and offsets read them several times."""
+    members = materialize(grouping.components(grouping.normalize_file_name(functions)))
+    return reindex(members, materialize(group_split(members, ratio, seed)))

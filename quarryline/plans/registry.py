@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import collate, grouping, loss, preprocess, split, stats, triplets
 from quarryline.plans.fixtures import FUNCTIONS_SQL, functions_view, raw_view
+from quarryline.sources.staging import materialize
 from quarryline.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,7 +215,7 @@ def triplet_sample(spark, d):
     join texts n on n.split = s.split and n.new_idx = s.negative""",
 )
 def triplet_rows(spark, d):
-    index = _index(spark, d)
+    index = materialize(_index(spark, d))
     made = triplets.triplet_texts(triplets.triplet_sample(index), split.pools(functions_view(spark, d), index))
     return made.select("split", "anchor_idx", *[F.md5(r).alias(r) for r in collate.ROLES])
 
