@@ -5,7 +5,7 @@ All paths go through Spark's readers and writers, so any Hadoop file system work
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,13 +38,20 @@ def read_jsonl(spark: SparkSession, path: str, extra: T.StructType | None = None
 
 
 def with_row_index(df: DataFrame, name: str = "original_idx") -> DataFrame:
-    """Adds a dense row number in the order of the input's partitions.
+    """Adds a dense row number in the order of the input's partitions, without a shuffle.
 
-    Rows have no position in Spark, so write the result before using it twice:
-    the number is only as stable as the order in which the files are listed.
+    Rows are counted per partition; the offsets, one row per partition, are broadcast
+    and added to each row's place in its own. Rows have no position in Spark, so write
+    the result before using it twice: the number is only as stable as the scan's splits.
     """
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(rows, T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)]))
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    part = F.shiftright("_place", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + inside).alias(name))
 
 
 def write_processed(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

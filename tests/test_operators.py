@@ -43,6 +43,8 @@ def test_jsonl_to_processed(spark, tmp_path):
     raw = tables.read_jsonl(spark, str(tmp_path / "raw.jsonl"))
     indexed = tables.with_row_index(raw)
     assert [r.original_idx for r in indexed.collect()] == list(range(6))
+    spread = tables.with_row_index(spark.range(1000, numPartitions=7)).collect()
+    assert sorted(r.original_idx for r in spread) == list(range(1000)) and all(r.id == r.original_idx for r in spread)
     done = preprocess.preprocess(raw, X.tokenizer_len(len))
     got = [(r.token_len, r.file_name, r.function_name) for r in done.collect()]
     assert got == [(9, "f", "g"), (9, "", ""), (9, "", ""), (9, "f", None)]
