@@ -37,6 +37,8 @@ from quarryline.llm.graph import components, local_roots
 COSINE, RECALL = 0.95, 0.995
 #: Projections, the share of threshold pairs that one window holds, rows of a block, and of a tile.
 PROJECTIONS, HIT, BLOCK, TILE = 20, 0.93, 4096, 512
+#: Share of threshold pairs that the window of the dealing projection holds.
+DEALT = 0.999
 SEED = 17
 
 
@@ -46,13 +48,15 @@ def directions(dim: int, k: int = PROJECTIONS, seed: int = SEED) -> np.ndarray:
     return q[:, : min(k, dim)]
 
 
-def calibrate(dim: int, cosine: float = COSINE, k: int = PROJECTIONS, recall: float = RECALL, hit: float = HIT) -> tuple[float, int]:
-    """(half width of a window, collisions to ask for), from differences of pairs at the threshold."""
+def calibrate(dim: int, cosine: float = COSINE, k: int = PROJECTIONS, recall: float = RECALL, hit: float = HIT) -> tuple[float, int, float]:
+    """(half width of a window, collisions to ask for, half width that vectors are dealt
+    within), from differences of pairs at the threshold. Pairs are dealt by one projection,
+    so its window there is wide enough to lose next to none."""
     k = min(k, dim)
     d = np.random.default_rng(SEED + 1).standard_normal((20_000, dim))
     d = np.abs(d / np.linalg.norm(d, axis=1, keepdims=True) * np.sqrt(max(0.0, 2 - 2 * cosine)))[:, :k]
     width = float(np.quantile(d, hit)) + 1e-6
-    return width, int(np.quantile((d <= width).sum(axis=1), 1 - recall, method="lower"))
+    return width, int(np.quantile((d <= width).sum(axis=1), 1 - recall, method="lower")), float(np.quantile(d, DEALT)) + 1e-6
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
@@ -93,14 +97,15 @@ def _projected(classes: DataFrame, dim: int) -> DataFrame:
     return classes.select("node", F.col("embedding").cast("array<double>"), "size").mapInArrow(run, "node long, embedding array<double>, size long, p array<float>")
 
 
-def linked_pairs(x: np.ndarray, p: np.ndarray, y: np.ndarray, r: np.ndarray, same: bool, width: float, count: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked_pairs(x: np.ndarray, p: np.ndarray, y: np.ndarray, r: np.ndarray, same: bool, calibrated: tuple[float, int, float], cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (into x, into y) whose cosine reaches the threshold, per tile. ``p`` and ``r``
     are the projections, both sides ascending in the first; ``same``: both sides are one block."""
     k = p.shape[1]
+    width, count, reach = calibrated
     for a in range(0, len(x), TILE):
         pa_ = p[a : a + TILE]
-        lo = np.searchsorted(r[:, 0], pa_[0, 0] - width)
-        hi = np.searchsorted(r[:, 0], pa_[-1, 0] + width, "right")
+        lo = np.searchsorted(r[:, 0], pa_[0, 0] - reach)
+        hi = np.searchsorted(r[:, 0], pa_[-1, 0] + reach, "right")
         for b in range(max(int(lo), a if same else 0), int(hi), TILE):
             rb = r[b : min(b + TILE, hi)]
             missed = np.zeros((len(pa_), len(rb)), np.int8)
@@ -134,7 +139,8 @@ def linked_pairs(x: np.ndarray, p: np.ndarray, y: np.ndarray, r: np.ndarray, sam
 def _search(rows: DataFrame, dim: int, cosine: float) -> DataFrame:
     """(node, other, links): partial link counts (other null) and star edges (links null)."""
     spark = rows.sparkSession
-    width, count = calibrate(dim, cosine)
+    calibrated = calibrate(dim, cosine)
+    reach = np.float32(calibrated[2])
     k = directions(dim).shape[1]
     spread = rows.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(F.get("p", F.lit(i))).alias(f"v{i}") for i in range(k)]).first()
     lead = max(range(k), key=lambda i: spread[f"v{i}"] or 0.0)
@@ -144,12 +150,10 @@ def _search(rows: DataFrame, dim: int, cosine: float) -> DataFrame:
         wanted = [b / blocks for b in range(1, blocks)]
         cuts = rows.agg(F.percentile_approx(F.get("p", F.lit(lead)), F.array(*[F.lit(q) for q in wanted]), F.lit(max(10_000, 20 * blocks)))).first()[0]
     edges = np.array([-np.inf, *cuts, np.inf], np.float32)
-    ends = [(float(edges[b]), float(edges[b + 1])) for b in range(blocks)]
-    # Block b holds values in [ends[b], ends[b + 1]); the tasks of a block are the pairs it belongs to.
-    first = np.searchsorted(edges[1:-1], edges[:-1] - np.float32(width), "right") if blocks > 1 else np.zeros(1, int)
-    last = np.searchsorted(edges[1:-1], edges[1:] + np.float32(width), "right") if blocks > 1 else np.zeros(1, int)
-    reach = {b: (int(first[b]), int(last[b])) for b in range(blocks)}
-    shared = spark.sparkContext.broadcast((edges[1:-1], reach))
+    # Block b holds values in [edges[b], edges[b + 1]); the tasks of a block are the pairs it belongs to.
+    first = np.searchsorted(edges[1:-1], edges[:-1] - reach, "right").tolist()
+    last = np.searchsorted(edges[1:-1], edges[1:] + reach, "right").tolist()
+    shared = spark.sparkContext.broadcast((edges[1:-1], list(zip(first, last, strict=True))))
 
     @F.pandas_udf("array<long>")
     def tasks(values):
@@ -175,7 +179,7 @@ def _search(rows: DataFrame, dim: int, cosine: float) -> DataFrame:
         left, right = sides
         links = np.zeros(len(node), np.int64)
         root = np.arange(len(node))
-        for u, v in linked_pairs(x[left], p[left], x[right], p[right], i == j, width, count, cosine):
+        for u, v in linked_pairs(x[left], p[left], x[right], p[right], i == j, calibrated, cosine):
             u, v = left[u], right[v]
             np.add.at(links, u, size[v])
             np.add.at(links, v, size[u])
@@ -190,7 +194,6 @@ def _search(rows: DataFrame, dim: int, cosine: float) -> DataFrame:
             }
         )
 
-    assert len(ends) == blocks
     return sent.groupBy("task").applyInArrow(run, "node long, other long, links long")
 
 

@@ -74,9 +74,10 @@ def test_recall_at_the_threshold():
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     c = 0.951
     y = c * x + np.sqrt(1 - c * c) * z
-    width, count = embeddings.calibrate(dim)
+    width, count, reach = embeddings.calibrate(dim)
     basis = embeddings.directions(dim)
-    passed = ((np.abs(x @ basis - y @ basis) <= width).sum(1) >= count).mean()
+    apart = np.abs(x @ basis - y @ basis)
+    passed = (((apart <= width).sum(1) >= count) & (apart[:, 0] <= reach)).mean()
     assert passed >= 0.98
     assert count >= 10
 
