@@ -19,9 +19,10 @@ in which two fingerprints within the radius agree on one group, until no key is
 
 ``near_duplicates`` links at ``RADIUS`` bits over three-word shingles.
 ``keep_one`` is for similar texts, 0.8 or more over five-word shingles: there each
-text has a second, independent fingerprint; both are searched at ``NEAR`` bits,
-and a pair links if no more than ``BOTH`` of all 128 bits differ, which is what
-that similarity leads to on average. The README has its recall.
+text has ``FINGERPRINTS`` independent fingerprints. Each is searched at ``NEAR``
+bits, and a pair links if it and the next one together differ in no more than
+``BOTH`` of 128 bits, which is what that similarity leads to on average. The
+README has its recall.
 
 A null text counts as empty: fingerprint zero, linked like any other. Rows with
 a null id take part, but name no component; a component of such rows alone has a
@@ -46,10 +47,12 @@ from quarryline.llm.graph import components, local_roots
 from quarryline.llm.xxh import xxh64
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
-#: Fingerprints from which correlations and candidate counts are estimated.
+#: About how many fingerprints correlations and candidate counts are estimated from.
 SAMPLE = 20_000
-#: ``keep_one``: words of a shingle, bits of the searches and of both fingerprints together.
-WIDE, NEAR, BOTH = 5, 8, 20
+#: ``keep_one``: words of a shingle, fingerprints, bits of a search and of two fingerprints together.
+WIDE, FINGERPRINTS, NEAR, BOTH = 5, 4, 8, 20
+#: Cost of a row sent, in pairs compared.
+ROW_COST = 50.0
 #: Rows of one key above which it is dealt again, and rows that one group of keys is meant to hold.
 HOT, GROUP = 4_096, 1 << 18
 #: Links that a task holds before it reduces them to spanning stars.
@@ -68,10 +71,10 @@ def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Two fingerprints of each text, zero for texts without words; the other is left zero
-    unless asked for. It comes from the same hashes, mixed."""
-    out, other = np.zeros(len(texts), U64), np.zeros(len(texts), U64)
+def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED, count: int = 1) -> np.ndarray:
+    """A row of ``count`` fingerprints for each text, zeros for texts without words; those
+    after the first come from the same hashes, mixed again."""
+    out = np.zeros((len(texts), count), U64)
     part: list[tuple[int, bytes]] = []
     size = 0
     for i, text in enumerate(texts):
@@ -92,26 +95,27 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED, s
             at = np.repeat(first - before, n) + np.arange(int(n.sum()))
             last = at + np.repeat(np.minimum(words, shingle), n) - 1
             hashes = xxh64(data, starts[at], ends[last], seed)
-            out[rows] = _majority(hashes, before)
-            if second:
-                other[rows] = _majority(mix(hashes + U64(1)), before)
+            for k in range(count):
+                out[rows, k] = _majority(hashes, before)
+                hashes = mix(hashes + U64(k + 1))
             part, size = [], 0
-    return out, other
+    return out
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, second: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(*keep, fp, other): the fingerprints of ``text`` as signed longs."""
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, count: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*keep, fp0, fp1, ...): the fingerprints of ``text`` as signed longs."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    names = [f"fp{k}" for k in range(count)]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{n} long" for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                fps = fingerprints([(x.as_py() or "").encode() for x in part.column(len(keep))], shingle, second=second)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(x.view(np.int64)) for x in fps]], [*keep, "fp", "other"])
+                fps = fingerprints([(x.as_py() or "").encode() for x in part.column(len(keep))], shingle, count=count)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in fps.T]], [*keep, *names])
 
-    return rows.mapInArrow(run, f"{kinds}, fp long, other long")
+    return rows.mapInArrow(run, ", ".join(kinds))
 
 
 # ---------------------------------------------------------------- plan
@@ -149,7 +153,7 @@ def _costs(sample: np.ndarray, group: list[int], n: int, radius: int) -> list[fl
     for t in range(radius + 1):
         ball = sum(comb(len(group), j) for j in range(t + 1))
         share = max((np.count_nonzero(far <= t) - len(some)) / pairs, ball / 2.0 ** len(group))
-        out.append(10.0 * n * ball + n * n * share / 2)
+        out.append(ROW_COST * n * ball + n * n * share / 2)
     return out
 
 
@@ -195,12 +199,6 @@ def _flips(n: int, t: int) -> tuple[int, ...]:
     return tuple(sum(1 << b for b in c) for j in range(1, t + 1) for c in combinations(range(n), j))
 
 
-def node_ids(fp: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """One id per pair of fingerprints: the first itself if there is no second."""
-    with np.errstate(over="ignore"):
-        return np.where(other == 0, fp, mix(fp + mix(other) * U64(0x9E3779B97F4A7C15))).view(np.int64)
-
-
 class Probes:
     """The keys under which a fingerprint is sent: per code its group of bits and the bits flipped."""
 
@@ -215,48 +213,55 @@ class Probes:
         return sum(1 << b for b in self.chosen[k][0])
 
 
-PACKED = "g int, n long, fp binary, other binary, code binary"
-ROWS = "key long, fp long, other long, home boolean, used long"
+NODE = {"node": np.int64, "fp": U64, "other": U64}
+PACKED = "g int, n long, node binary, fp binary, other binary, code binary"
+ROWS = "key long, node long, fp long, other long, home boolean, used long"
 
 
-def _send(nodes: DataFrame, probes: Probes, groups: int, swap: bool) -> DataFrame:
-    """Packed rows: fingerprints and codes by the range of their key."""
+def _send(nodes: DataFrame, probes: Probes, groups: int) -> DataFrame:
+    """Packed rows: nodes, their fingerprints and codes, by the range of their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(g << 64) // groups for g in range(1, groups)], U64)
         for batch in batches:
-            both = [np.asarray(batch.column(i)).view(U64) for i in ((1, 0) if swap else (0, 1))]
+            columns = [np.asarray(c).view(kind) for c, kind in zip(batch.columns, NODE.values(), strict=True)]
             for at in range(0, batch.num_rows, 1 << 13):
-                fp, other = (x[at : at + (1 << 13)] for x in both)
-                m = len(fp)
-                keys = np.concatenate([probes.keys(fp, k, U64(flip)) for k, flip in probes.codes])
+                parts = [c[at : at + (1 << 13)] for c in columns]
+                m = len(parts[0])
+                keys = np.concatenate([probes.keys(parts[1], k, U64(flip)) for k, flip in probes.codes])
                 order = np.argsort(keys)
                 cut = np.concatenate(([0], np.searchsorted(keys[order], edges), [len(keys)]))
                 code, row = order // m, order % m
                 full = np.flatnonzero(np.diff(cut))
-                parts = [slice(cut[g], cut[g + 1]) for g in full.tolist()]
+                ranges = [slice(cut[g], cut[g + 1]) for g in full.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(full.astype(np.int32)), pa.array([s.stop - s.start for s in parts], pa.int64()),
-                        *[pa.array([v[row[s]].tobytes() for s in parts], pa.binary()) for v in (fp, other)],
-                        pa.array([code[s].astype(np.int32).tobytes() for s in parts], pa.binary()),
+                        pa.array(full.astype(np.int32)), pa.array([r.stop - r.start for r in ranges], pa.int64()),
+                        *[pa.array([v[row[r]].tobytes() for r in ranges], pa.binary()) for v in parts],
+                        pa.array([code[r].astype(np.int32).tobytes() for r in ranges], pa.binary()),
                     ],
-                    ["g", "n", "fp", "other", "code"],
+                    ["g", "n", *NODE, "code"],
                 )
 
-    return nodes.select("fp", "other").mapInArrow(run, PACKED)
+    return nodes.select(*NODE).mapInArrow(run, PACKED)
 
 
 def _unpack(table: pa.Table | pa.RecordBatch, probes: Probes) -> tuple[np.ndarray, ...]:
-    """(key, fp, other, home, group of bits) of all packed rows."""
-    fp, other, code = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("fp", U64), ("other", U64), ("code", np.int32)))
+    """(key, node, fp, other, home, group of bits) of all packed rows."""
+    kinds = NODE | {"code": np.int32}
+    node, fp, other, code = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in kinds.items())
     group = np.array([k for k, _ in probes.codes])[code]
     flips = np.array([flip for _, flip in probes.codes], U64)[code]
     key = np.empty(len(fp), U64)
     for k in range(len(probes.chosen)):
         own = np.flatnonzero(group == k)
         key[own] = probes.keys(fp[own], k, flips[own])
-    return key, fp, other, flips == 0, group
+    return key, node, fp, other, flips == 0, group
+
+
+def _row_batch(key, node, fp, other, home, used) -> pa.RecordBatch:
+    longs = [pa.array(x.view(np.int64)) for x in (key, node, fp, other)]
+    return pa.RecordBatch.from_arrays([*longs, pa.array(home), pa.array(used.view(np.int64))], ["key", "node", "fp", "other", "home", "used"])
 
 
 def _rows(packed: DataFrame, probes: Probes) -> DataFrame:
@@ -265,10 +270,9 @@ def _rows(packed: DataFrame, probes: Probes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                key, fp, other, home, group = _unpack(batch.slice(i, 1), probes)
+                *columns, group = _unpack(batch.slice(i, 1), probes)
                 used = np.array([probes.used(k) for k in range(len(probes.chosen))], U64)[group]
-                arrays = [pa.array(x.view(np.int64)) for x in (key, fp, other)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(home), pa.array(used.view(np.int64))], ["key", "fp", "other", "home", "used"])
+                yield _row_batch(*columns, used)
 
     return packed.mapInArrow(run, ROWS)
 
@@ -278,7 +282,8 @@ def _deal_again(hot: DataFrame, radius: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, fp, other, used = (np.asarray(batch.column(i)).view(U64) for i in (0, 1, 2, 4))
+            key, node, fp, other, used = (np.asarray(batch.column(i)).view(U64) for i in (0, 1, 2, 3, 5))
+            home = batch.column(4).to_numpy(zero_copy_only=False)
             for u in np.unique(used).tolist():
                 rows = np.flatnonzero(used == U64(u))
                 left = [b for b in range(BITS) if not u >> b & 1]
@@ -287,17 +292,16 @@ def _deal_again(hot: DataFrame, radius: int) -> DataFrame:
                     now = np.full(len(rows), u | sum(1 << b for b in bits), U64)
                     with np.errstate(over="ignore"):
                         fresh = mix(key[rows] + mix(_extract(fp[rows], bits) + U64(k + 1)))
-                    arrays = [pa.array(x.view(np.int64)) for x in (fresh, fp[rows], other[rows])]
-                    yield pa.RecordBatch.from_arrays([*arrays, batch.column(3).take(pa.array(rows)), pa.array(now.view(np.int64))], ["key", "fp", "other", "home", "used"])
+                    yield _row_batch(fresh, node[rows], fp[rows], other[rows], home[rows], now)
 
-    return hot.select("key", "fp", "other", "home", "used").mapInArrow(run, ROWS)
+    return hot.select("key", *NODE, "home", "used").mapInArrow(run, ROWS)
 
 
-def links_of_keys(key: np.ndarray, fp: np.ndarray, other: np.ndarray, home: np.ndarray, radius: int, both: int, swap: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def links_of_keys(key: np.ndarray, node: np.ndarray, fp: np.ndarray, other: np.ndarray, home: np.ndarray, radius: int, both: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges of the links between rows of one key, of which one at least is at home."""
     order = np.lexsort((~home, key))  # a key's rows at home come first
     key, fp, other, home = key[order], fp[order], other[order], home[order]
-    nodes, number = np.unique(node_ids(other, fp) if swap else node_ids(fp, other), return_inverse=True)
+    nodes, number = np.unique(node[order], return_inverse=True)
     root = np.arange(len(nodes))
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
@@ -333,31 +337,30 @@ def _edge_table(links: tuple[np.ndarray, np.ndarray]) -> pa.Table:
     return pa.table({"u": pa.array(links[0], pa.int64()), "v": pa.array(links[1], pa.int64())})
 
 
-def search(nodes: DataFrame, radius: int = RADIUS, both: int | None = None, swap: bool = False, hot: int = HOT, group: int = GROUP) -> DataFrame:
-    """(u, v): edges over ``node_ids`` that connect distinct rows of (fp, other) as their links do.
+def search(nodes: DataFrame, radius: int = RADIUS, both: int | None = None, hot: int = HOT, group: int = GROUP) -> DataFrame:
+    """(u, v): edges that connect the nodes of (node, fp, other) as their links do.
 
-    Rows link if their ``fp`` differ in at most ``radius`` bits and, where ``both`` is
-    given, both together in at most ``both``. ``swap``: search ``other`` instead.
+    Nodes link if their ``fp`` differ in at most ``radius`` bits and, where ``both`` is
+    given, ``fp`` and ``other`` together in at most ``both``.
     """
     spark, both = nodes.sparkSession, radius if both is None else both
     n = nodes.count()
-    column = "other" if swap else "fp"
-    sample = nodes.select(F.col(column).alias("x")).orderBy(F.xxhash64("x")).limit(SAMPLE).toPandas()["x"].to_numpy(np.int64).view(U64)
+    sample = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(U64)
     if n < 2:
-        return nodes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+        return nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     probes = Probes(plan(sample, n, radius))
     rows = n * len(probes.codes)
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // group))
 
     def of_packed(table: pa.Table) -> pa.Table:
-        key, fp, other, home, _ = _unpack(table, probes)
-        return _edge_table(links_of_keys(key, fp, other, home, radius, both, swap))
+        *columns, _ = _unpack(table, probes)
+        return _edge_table(links_of_keys(*columns, radius, both))
 
     def of_rows(table: pa.Table) -> pa.Table:
-        key, fp, other = (table.column(name).to_numpy().view(U64) for name in ("key", "fp", "other"))
-        return _edge_table(links_of_keys(key, fp, other, table.column("home").to_numpy(), radius, both, swap))
+        key, node, fp, other = (table.column(name).to_numpy().view(U64) for name in ("key", *NODE))
+        return _edge_table(links_of_keys(key, node.view(np.int64), fp, other, table.column("home").to_numpy(), radius, both))
 
-    packed = _send(nodes, probes, groups, swap)
+    packed = _send(nodes, probes, groups)
     large = stage(packed.groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") > 4 * group).select("g"))
     if large.isEmpty():
         return packed.groupBy("g").applyInArrow(of_packed, "u long, v long")
@@ -367,7 +370,7 @@ def search(nodes: DataFrame, radius: int = RADIUS, both: int | None = None, swap
         big = stage(sent.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot).select("key"))
         calm = sent.join(big, "key", "left_anti")
         part = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g")
-        found = found.union(calm.select(part, "key", "fp", "other", "home").groupBy("g").applyInArrow(of_rows, "u long, v long"))
+        found = found.union(calm.select(part, "key", *NODE, "home").groupBy("g").applyInArrow(of_rows, "u long, v long"))
         if big.isEmpty():
             return found
         sent = stage(_deal_again(sent.join(big, "key", "left_semi").filter(F.col("used") != -1), radius))
@@ -375,9 +378,9 @@ def search(nodes: DataFrame, radius: int = RADIUS, both: int | None = None, swap
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row."""
-    rows = stage(with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle))
-    firsts = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("other").alias("other")))
-    roots = components(search(firsts, radius)).toDF("fp", "root")
+    rows = stage(with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle).toDF("doc_id", "fp"))
+    firsts = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(search(firsts.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("other")), radius)).toDF("fp", "root")
     placed = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
@@ -385,23 +388,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, near: int = NEAR, both: int = BOTH, shingle: int = WIDE) -> DataFrame:
+def keep_one(docs: DataFrame, near: int = NEAR, both: int = BOTH, shingle: int = WIDE, count: int = FINGERPRINTS) -> DataFrame:
     """``docs`` with one document of each group of similar texts: the smallest id, nulls last."""
-
-    @F.pandas_udf("long")
-    def node(fp, other):
-        import pandas as pd
-
-        return pd.Series(node_ids(fp.to_numpy(np.int64).view(U64), other.to_numpy(np.int64).view(U64)))
-
-    keyed = docs.select(*doc_key(), "doc_id", "text")
-    rows = stage(with_fingerprints(keyed, shingle, True, ("k1", "k2", "doc_id")).withColumn("node", node("fp", "other")))
+    spark = docs.sparkSession
+    names = [f"fp{k}" for k in range(count)]
+    rows = stage(with_fingerprints(docs.select(*doc_key(), "doc_id", "text"), shingle, count, ("k1", "k2", "doc_id")))
     order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("i"), "k1", "k2")
-    firsts = stage(rows.groupBy("node", "fp", "other").agg(F.min(order).alias("first")))
-    edges = stage(search(firsts, near, both).union(search(firsts, near, both, swap=True)))
+    firsts = stage(rows.groupBy(*names).agg(F.min(order).alias("first")).withColumn("node", F.xxhash64(*names)))
+    edges = None
+    for k, name in enumerate(names):  # one search at a time, so that only its own shuffle is held
+        found = stage(search(firsts.select("node", F.col(name).alias("fp"), F.col(names[(k + 1) % count]).alias("other")), near, both))
+        edges = found if edges is None else edges.union(found)
+        free_shuffles(spark)
     roots = components(edges).toDF("node", "root")
     winners = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     winners = winners.select("first.k1", "first.k2")
-    free_shuffles(docs.sparkSession)
+    free_shuffles(spark)
     whole = docs.select(*doc_key(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return whole.join(winners, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")

@@ -45,7 +45,7 @@ def test_fingerprints():
     rng = random.Random(2)
     texts = ["", " \n", "One", "one TWO", "a b c", "é É ß x\x0by z", "w " * 400]
     texts += [" ".join(rng.choices(["the", "Quick", "füchse", "x" * 600, "jumps\n"], k=rng.randrange(90))) for _ in range(60)]
-    assert simhash.fingerprints([t.encode() for t in texts])[0].tolist() == [brute_fp(t) for t in texts]
+    assert simhash.fingerprints([t.encode() for t in texts])[:, 0].tolist() == [brute_fp(t) for t in texts]
 
 
 def flipped(rng, f, n):
@@ -67,7 +67,7 @@ def some_fps(seed, clusters, each, flips):
 def test_search_finds_every_link(spark, radius, hot, group):
     fps = some_fps(radius, 30, 25, 8)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    df = spark.createDataFrame([(x, 0) for x in signed], "fp long, other long")
+    df = spark.createDataFrame([(x, x, 0) for x in signed], "node long, fp long, other long")
     edges = simhash.search(df, radius, hot=hot, group=group).collect()
     index = {x: i for i, x in enumerate(signed)}
     root = graph.local_roots(np.array([index[e.u] for e in edges], int), np.array([index[e.v] for e in edges], int), len(fps))
