@@ -18,7 +18,16 @@ U64 = np.uint64
 CHUNK = 1 << 21
 
 
+#: Rows that a Python worker gets at a time; the default of 10,000 whole texts takes a lot of memory.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

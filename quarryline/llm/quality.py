@@ -183,10 +183,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: i
     vectors = stage(with_features(docs))
     shared = docs.sparkSession.sparkContext.broadcast(train(vectors, labels, ~held_out(modulus, remainder)))
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        return pd.Series(shared.value.scores(features(pa.array(texts, pa.string()))))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores(features(texts)))
 
     return docs.filter(score(F.col("text")) >= GOOD)
