@@ -345,10 +345,12 @@ def search(nodes: DataFrame, radius: int = RADIUS, both: int | None = None, hot:
     """
     spark, both = nodes.sparkSession, radius if both is None else both
     n = nodes.count()
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(U64)
     if n < 2:
         return nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-    probes = Probes(plan(sample, n, radius))
+    # A hash picks about SAMPLE of them where they are: an ordered limit would send as many from each task.
+    part = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < min(1 << 30, (SAMPLE << 30) // n)
+    sample = nodes.filter(part).select("fp").toPandas()["fp"].to_numpy(np.int64).view(U64)
+    probes = Probes(plan(sample[np.argsort(mix(sample))], n, radius))
     rows = n * len(probes.codes)
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // group))
 
