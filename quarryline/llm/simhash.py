@@ -57,17 +57,22 @@ ROW_COST = 200.0
 HOT, GROUP = 4_096, 1 << 18
 #: Links that a task holds before it reduces them to spanning stars.
 HELD = 1 << 20
-#: Bytes of text hashed at a time.
-PART = 1 << 20
+#: Bytes of text hashed at a time, and hashes counted at a time.
+PART, BLOCK = 1 << 20, 1 << 16
 
 # ---------------------------------------------------------------- fingerprints
 
 
 def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per run of hashes, starting at ``first``, the bits set in over half of it."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
     size = np.diff(np.concatenate((first, [len(hashes)])))
+    run = np.repeat(np.arange(len(first)), size)
+    counts = np.zeros((len(first), BITS), np.int64)
+    for a in range(0, len(hashes), BLOCK):  # 64 bytes a hash, so a long text goes in parts
+        bits = np.unpackbits(hashes[a : a + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own = run[a : a + BLOCK]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        counts[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
     return np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 

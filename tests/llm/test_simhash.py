@@ -41,7 +41,9 @@ def test_hash_of_many_ranges():
     assert got.tolist() == [xxhash.xxh64_intdigest(data[a:b].tobytes(), 42) for a, b in zip(starts, ends, strict=True)]
 
 
-def test_fingerprints():
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_fingerprints(monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(2)
     texts = ["", " \n", "One", "one TWO", "a b c", "é É ß x\x0by z", "w " * 400]
     texts += [" ".join(rng.choices(["the", "Quick", "füchse", "x" * 600, "jumps\n"], k=rng.randrange(90))) for _ in range(60)]
