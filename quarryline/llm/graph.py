@@ -3,8 +3,8 @@
 Edges are first thinned to a spanning star per partition and component. Then
 large-star and small-star steps alternate until nothing changes, each written to
 the shared folder. A step takes the minimum over a node's neighbours as a partial
-aggregate and joins it back, so a node with very many neighbours is split by the
-skew join, not gathered.
+aggregate and joins it back under a salt, so a node with very many neighbours is
+spread over tasks, not gathered.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.joins import lookup_join
 from quarryline.llm.common import free_shuffles, stage
 
 ROUNDS = 60
@@ -59,12 +60,12 @@ def _thin(edges: DataFrame) -> DataFrame:
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return lookup_join(both.filter("v > u"), low, ["u"], "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     low = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = lookup_join(e, low, ["u"], "v", "inner").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 

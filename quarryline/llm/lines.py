@@ -11,8 +11,9 @@ page all of whose lines go keeps its row with an empty text. Repeated rows are
 treated alike. Further columns are kept.
 
 Only hashes of lines are shuffled. Distinct (host, line, page) rows spread over all
-three, and the counts per (host, line) are pre-aggregated, so neither a host with a
-third of all pages nor a line on each of them meets in one task. At most
+three, the counts per (host, line) are pre-aggregated, and hosts' totals join under
+a salt, so neither a host with a third of all pages nor a line on each of them meets
+in one task. At most
 lines-per-page / RATIO lines of a host can be boilerplate; that table joins by size
 as measured, and so do the hits with the documents.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.joins import lookup_join
 from quarryline.llm.common import doc_key, stage
 
 RATIO, MIN_PAGES = 0.03, 5
@@ -40,7 +42,7 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     rows = pages.select("host", F.xxhash64("text").alias("page"), F.explode(inked).alias("line"))
     rows = rows.select("host", "page", F.md5("line").alias("line")).distinct()
     counts = rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_pages)
-    return counts.join(totals, "host").filter(F.col("c") > F.col("n") * F.lit(float(ratio))).select("host", "line")
+    return lookup_join(counts, totals, ["host"], "line", "inner").filter(F.col("c") > F.col("n") * F.lit(float(ratio))).select("host", "line")
 
 
 def _marked(docs: DataFrame, host: str, ratio: float, min_pages: int) -> DataFrame:
