@@ -281,7 +281,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     steps = levels(window)
     seeds = stage(_seeds(docs, window, steps[0]))
-    repeated = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    # Written first: joined as an aggregate it would share the join's partitioning, and a hot run's rows could not be split.
+    repeated = stage(seeds.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"))
     alive = seeds.join(repeated, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list("pos").alias("seeds"))
     regions = stage(_regions(docs, alive, window, steps[0]))
     for n in steps[1:]:
