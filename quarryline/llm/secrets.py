@@ -119,8 +119,11 @@ _WORD = re.compile(r"[A-Za-z]{2,}")
 def train(docs: DataFrame) -> Models:
     """The models; the words are those of at most ``TRAIN_DOCS`` documents, chosen by a hash,
     of at most ``TRAIN_CHARS`` characters each."""
-    some = docs.select("text").filter(F.length("text").between(1, TRAIN_CHARS)).orderBy(F.xxhash64("text"), "text").limit(TRAIN_DOCS)
-    words = [w for r in some.collect() for w in _WORD.findall(r.text)]
+    some = docs.select("text", F.xxhash64("text").alias("h")).filter(F.length("text").between(1, TRAIN_CHARS))
+    least = [r.h for r in some.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).collect()]
+    # Hashes alone are ordered; only the texts chosen reach the driver.
+    chosen = some.filter(F.col("h") <= max(least, default=-(1 << 63))).dropDuplicates(["h"]).orderBy("h")
+    words = [w for r in chosen.collect() for w in _WORD.findall(r.text)]
     random.Random(9).shuffle(words)
     return Models(words[:TRAIN_WORDS])
 
