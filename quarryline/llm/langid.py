@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.bpe import LETTER, classes
-from quarryline.llm.common import U64, WordHasher, mix, word_bounds
+from quarryline.llm.common import U64, WordHasher, mix, stage, word_bounds
 
 TRAIN_DOCS, TOP_WORDS, TOP_GRAMS = 20_000, 50_000, 20_000
 GRAMS = (5, 4, 3, 2, 1)
@@ -165,6 +165,27 @@ class Model:
         return names, scores
 
 
+def commonest(by: DataFrame, limit: int) -> list:
+    """About the ``limit`` rows of (h, s, by) with the largest ``s``, never more, in a fixed order.
+
+    Counts per bin of the logarithm, a few hundred rows, give the bins that fit; of the
+    first that does not fit, a range of hashes fills up. An ordered limit would send as
+    many rows from each task to the driver.
+    """
+    slot = F.floor(F.log2("s") * 16)
+    bins = by.groupBy(slot.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()
+    room, keep = limit, F.lit(False)
+    for r in bins:
+        if r.n > room:
+            # A little under the share that is left, so that chance doesn't exceed the limit.
+            part = max(0, int((1 << 20) * (room - 4 * room**0.5) / r.n))
+            keep = keep | ((slot == r.b) & (F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < part))
+            break
+        keep = keep | (slot == r.b)
+        room -= r.n
+    return sorted(by.filter(keep).collect(), key=lambda r: (-r.s, r.h))[:limit]
+
+
 def train(docs: DataFrame, labelled: Column, smooth: float = 0.5) -> Model:
     """The model from the rows of ``docs`` (doc_id, text, lang) where ``labelled`` holds and lang is not null."""
     rows = docs.filter(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -172,8 +193,6 @@ def train(docs: DataFrame, labelled: Column, smooth: float = 0.5) -> Model:
     if total > TRAIN_DOCS:
         part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(1 << 20))
         rows = rows.filter(part < max(1, (TRAIN_DOCS << 20) // total))
-    from quarryline.llm.common import stage
-
     counts = stage(training_counts(rows))
     sums = counts.filter("n = 0").groupBy("lang").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "lang").limit(LANGUAGES).collect()
     languages = sorted(r.lang for r in sums)
@@ -182,7 +201,7 @@ def train(docs: DataFrame, labelled: Column, smooth: float = 0.5) -> Model:
     place = {x: i for i, x in enumerate(languages)}
     for n in (0, *GRAMS):
         by = counts.filter(F.col("n") == n).groupBy("h").agg(F.sum("c").alias("s"), F.collect_list(F.struct("lang", "c")).alias("by"))
-        top = by.orderBy(F.desc("s"), "h").limit(TOP_GRAMS if n else TOP_WORDS).collect()
+        top = commonest(by, TOP_GRAMS if n else TOP_WORDS)
         hashes = np.array([r.h for r in top], np.int64).view(U64)
         values = np.zeros((len(top), len(languages)))
         for i, r in enumerate(top):
