@@ -34,8 +34,10 @@ from pyspark.sql import types as T
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bits of a rank that the lower level of the bitmap holds.
 LEAF_BITS = 8
-#: Pieces whose ids a worker keeps, and pairs whose ranks it keeps; only speed depends on them.
-CACHED_PIECES, CACHED_PAIRS = 300_000, 400_000
+LEAF = (1 << LEAF_BITS) - 1
+#: Pieces whose ids a worker keeps, in two generations of half as many, and pairs whose ranks
+#: it keeps; only speed depends on them. A piece takes about 200 bytes.
+CACHED_PIECES, CACHED_PAIRS = 500_000, 400_000
 #: Characters of text that are split at a time.
 SPLIT_CHARS = 1 << 19
 
@@ -46,55 +48,62 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Pairs(dict):
+    """The rank of two neighbours' joint bytes by ``left * width + right``, -1 if they don't merge."""
+
+    def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes], width: int):
+        super().__init__()
+        self.ranks, self.tokens, self.width = ranks, tokens, width
+
+    def __missing__(self, key: int) -> int:
+        if len(self) >= CACHED_PAIRS:
+            self.clear()
+        a, b = divmod(key, self.width)
+        found = self[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+        return found
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self.width = max(self.tokens) + 1
         self.bytes = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}
-
-    def pair_rank(self, a: int, b: int) -> int:
-        """The rank of two neighbours' joint bytes, -1 if they don't merge."""
-        key = a * self.width + b
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return found
+        self.pairs = Pairs(ranks, self.tokens, self.width)
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        ids = [self.bytes[b] for b in piece]
-        n, rank_of = len(ids), self.pair_rank
+        single, pairs, width = self.bytes, self.pairs, self.width
+        ids = [single[b] for b in piece]
+        n = len(ids)
+        now = [pairs[a * width + b] for a, b in zip(ids, ids[1:])]  # the rank of the pair that starts at a position  # noqa: B905
+        now.append(-1)
         following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
-        now = [-1] * n  # the rank of the pair that starts at a position
         buckets: dict[int, list[int]] = {}
         leaves: dict[int, int] = {}
         top = 0
-        for i in range(n - 1):
-            r = rank_of(ids[i], ids[i + 1])
-            if r >= 0:
-                now[i] = r
-                if r in buckets:
-                    buckets[r].append(i)  # ascending, so a heap already
-                else:
-                    buckets[r] = [i]
-                    hi = r >> LEAF_BITS
-                    leaves[hi] = leaves.get(hi, 0) | 1 << (r & 255)
-                    top |= 1 << hi
+        for i, r in enumerate(now):
+            if r in buckets:
+                buckets[r].append(i)  # ascending, so a heap already
+            elif r >= 0:
+                buckets[r] = [i]
+                hi = r >> LEAF_BITS
+                leaves[hi] = leaves.get(hi, 0) | 1 << (r & LEAF)
+                top |= 1 << hi
         while top:
             hi = (top & -top).bit_length() - 1
             leaf = leaves[hi]
             r = hi << LEAF_BITS | (leaf & -leaf).bit_length() - 1
             bucket = buckets[r]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
                 del buckets[r]
-                leaves[hi] = leaf = leaf & leaf - 1
+                leaf &= leaf - 1
+                leaves[hi] = leaf
                 if not leaf:
                     top &= top - 1
             if now[i] != r:
@@ -102,21 +111,29 @@ class Encoder:
             ids[i] = r
             j = following[i]
             k = following[i] = following[j]
-            now[j] = now[i] = -1
+            now[j] = -1
             if k < n:
                 previous[k] = i
-            for a, b in ((previous[i], i), (i, k)):
-                if a < 0 or b >= n:
-                    continue
-                x = now[a] = rank_of(ids[a], ids[b])
-                if x >= 0:
-                    if x in buckets:
-                        heappush(buckets[x], a)
-                    else:
-                        buckets[x] = [a]
-                        up = x >> LEAF_BITS
-                        leaves[up] = leaves.get(up, 0) | 1 << (x & 255)
-                        top |= 1 << up
+                x = now[i] = pairs[r * width + ids[k]]
+                if x in buckets:
+                    heappush(buckets[x], i)
+                elif x >= 0:
+                    buckets[x] = [i]
+                    hi = x >> LEAF_BITS
+                    leaves[hi] = leaves.get(hi, 0) | 1 << (x & LEAF)
+                    top |= 1 << hi
+            else:
+                now[i] = -1
+            i = previous[i]
+            if i >= 0:
+                x = now[i] = pairs[ids[i] * width + r]
+                if x in buckets:
+                    heappush(buckets[x], i)
+                elif x >= 0:
+                    buckets[x] = [i]
+                    hi = x >> LEAF_BITS
+                    leaves[hi] = leaves.get(hi, 0) | 1 << (x & LEAF)
+                    top |= 1 << hi
         out, i = [], 0
         while i < n:
             out.append(ids[i])
@@ -212,18 +229,23 @@ def splitter(pattern: str):
 
 
 class Codec(dict):
-    """Pieces to their packed ids, made on first use; also decodes."""
+    """Pieces to their packed ids, made on first use; also decodes. A full generation of
+    pieces becomes the older one, from which pieces that are used again come back."""
 
     def __init__(self, path: str, pattern: str):
         self.encoder = Encoder(load_ranks(path))
         self.split = splitter(pattern)
         self.decimals = [b"%d" % i for i in range(self.encoder.width)]
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED_PIECES:
-            self.clear()
-        ids = np.array(self.encoder.encode(piece.encode()), np.uint32).tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.array(self.encoder.encode(piece.encode()), np.uint32).tobytes()
         if len(piece) <= 64:
+            if len(self) >= CACHED_PIECES // 2:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
