@@ -18,11 +18,14 @@ rows than ``HOT`` are dealt again by key and by further groups of the bits left,
 in which two fingerprints within the radius agree on one group, until no key is hot.
 
 ``near_duplicates`` links at ``RADIUS`` bits over three-word shingles.
-``keep_one`` is for similar texts, 0.8 or more over five-word shingles: there each
-text has ``FINGERPRINTS`` independent fingerprints. Each is searched at ``NEAR``
-bits, and a pair links if it and the next one together differ in no more than
-``BOTH`` of 128 bits, which is what that similarity leads to on average. The
-README has its recall.
+``keep_one`` is for similar texts, a Jaccard similarity of ``SIMILAR`` or more over
+their sets of five-word shingles: there each text has ``FINGERPRINTS`` independent
+fingerprints, in which a repeated shingle counts once. Each is searched at ``NEAR``
+bits, and a pair is a candidate if it and the next one together differ in no more
+than ``BOTH`` of 128 bits, which is what that similarity leads to on average.
+Candidates only say which texts to compare: inside each component of them the sets
+themselves are compared, and only pairs of that similarity link. The README has the
+recall.
 
 A null text counts as empty: fingerprint zero, linked like any other. Rows with
 a null id take part, but name no component; a component of such rows alone has a
@@ -42,8 +45,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.joins import lookup_join
 from quarryline.llm.common import U64, doc_key, free_shuffles, mix, stage
-from quarryline.llm.graph import components, local_roots
+from quarryline.llm.graph import components, local_roots, spanning_stars
 from quarryline.llm.xxh import xxh64
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -51,6 +55,8 @@ BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 SAMPLE = 20_000
 #: ``keep_one``: words of a shingle, fingerprints, bits of a search and of two fingerprints together.
 WIDE, FINGERPRINTS, NEAR, BOTH = 5, 4, 8, 20
+#: The similarity that links, as a fraction; shingles of a block of sets that one task compares.
+SIMILAR, SET_BLOCK = (4, 5), 1 << 19
 #: Cost of a row sent, in pairs compared: about a microsecond against five nanoseconds.
 ROW_COST = 200.0
 #: Rows of one key above which it is dealt again, and rows that one group of keys is meant to hold.
@@ -76,10 +82,8 @@ def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED, count: int = 1) -> np.ndarray:
-    """A row of ``count`` fingerprints for each text, zeros for texts without words; those
-    after the first come from the same hashes, mixed again."""
-    out = np.zeros((len(texts), count), U64)
+def _shingles(texts: list[bytes], shingle: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, hashes, first hash of each text) of the texts that have words, in parts."""
     part: list[tuple[int, bytes]] = []
     size = 0
     for i, text in enumerate(texts):
@@ -99,25 +103,55 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED, c
             before = np.concatenate(([0], np.cumsum(n)[:-1]))
             at = np.repeat(first - before, n) + np.arange(int(n.sum()))
             last = at + np.repeat(np.minimum(words, shingle), n) - 1
-            hashes = xxh64(data, starts[at], ends[last], seed)
-            for k in range(count):
-                out[rows, k] = _majority(hashes, before)
-                hashes = mix(hashes + U64(k + 1))
+            yield rows, xxh64(data, starts[at], ends[last], seed), before
             part, size = [], 0
+
+
+def _distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes ascending and once, and where each text starts."""
+    run = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(hashes)]))))
+    order = np.lexsort((hashes, run))
+    hashes, run = hashes[order], run[order]
+    new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (run[1:] != run[:-1])))
+    return hashes[new], np.searchsorted(run[new], np.arange(len(first)))
+
+
+def shingle_sets(texts: list[bytes], shingle: int = WIDE, seed: int = SEED) -> list[np.ndarray]:
+    """Each text's distinct shingle hashes, ascending."""
+    out = [np.zeros(0, U64)] * len(texts)
+    for rows, hashes, first in _shingles(texts, shingle, seed):
+        for i, own in zip(rows.tolist(), np.split(*_distinct(hashes, first))[1:], strict=True):
+            out[i] = own
+    return out
+
+
+def fingerprints(texts: list[bytes], shingle: int = SHINGLE, seed: int = SEED, count: int = 1, distinct: bool = False) -> np.ndarray:
+    """A row of ``count`` fingerprints for each text, zeros for texts without words; those
+    after the first come from the same hashes, mixed again. ``distinct``: each shingle of a
+    text counts once, and a digest of the set follows as a further column."""
+    out = np.zeros((len(texts), count + distinct), U64)
+    for rows, hashes, first in _shingles(texts, shingle, seed):
+        if distinct:
+            hashes, first = _distinct(hashes, first)
+        for k in range(count):
+            out[rows, k] = _majority(hashes, first)
+            hashes = mix(hashes + U64(k + 1))
+        if distinct:
+            out[rows, count] = mix(np.add.reduceat(hashes, first))
     return out
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, count: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(*keep, fp0, fp1, ...): the fingerprints of ``text`` as signed longs."""
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, count: int = 1, keep: tuple[str, ...] = ("doc_id",), distinct: bool = False) -> DataFrame:
+    """(*keep, fp0, fp1, ...): the fingerprints of ``text`` as signed longs; with ``distinct`` the set's digest after them."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-    names = [f"fp{k}" for k in range(count)]
+    names = [f"fp{k}" for k in range(count)] + ["digest"] * distinct
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{n} long" for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                fps = fingerprints([(x.as_py() or "").encode() for x in part.column(len(keep))], shingle, count=count)
+                fps = fingerprints([(x.as_py() or "").encode() for x in part.column(len(keep))], shingle, count=count, distinct=distinct)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in fps.T]], [*keep, *names])
 
     return rows.mapInArrow(run, ", ".join(kinds))
@@ -395,19 +429,108 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- similar texts
+
+
+def _similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes ``a`` and ``b`` with ``shared`` members have the similarity that links."""
+    return shared * SIMILAR[1] >= (a + b - shared) * SIMILAR[0]
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(root, node, n, set) for (root, node, text): the shingles' number and their hashes, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = shingle_sets([(x.as_py() or "").encode() for x in part.column(2)], shingle)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                    ["root", "node", "n", "set"],
+                )
+
+    return texts.select("root", "node", "text").mapInArrow(run, "root long, node long, n long, set binary")
+
+
+def _against_root(pairs: DataFrame) -> DataFrame:
+    """(root, node, ok) for (root, node, set, root_set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
+                ok.append(bool(_similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["root", "node", "ok"])
+
+    return pairs.select("root", "node", "set", "root_set").mapInArrow(run, "root long, node long, ok boolean")
+
+
+def _compare_blocks(table: pa.Table) -> pa.Table:
+    """Star edges of the links between the rows of ``open`` and the others."""
+    node, n = np.asarray(table.column("node")), np.asarray(table.column("n"))
+    is_open = table.column("open").to_numpy()
+    rest, some = np.flatnonzero(~is_open), np.flatnonzero(is_open)
+    sets = table.column("set")
+    hashes = np.concatenate([np.zeros(0, U64), *[np.frombuffer(sets[i].as_py(), U64) for i in rest.tolist()]])
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], np.repeat(np.arange(len(rest)), n[rest])[order]
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in some.tolist():
+        own = np.frombuffer(sets[i].as_py(), U64)
+        lo, hi = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
+        size = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum())) if len(own) else lo
+        shared = np.bincount(owner[at], minlength=len(rest))
+        near = rest[_similar(shared, n[i], n[rest])]
+        u.append(np.full(len(near), node[i]))
+        v.append(node[near])
+    return _edge_table(spanning_stars(np.concatenate(u), np.concatenate(v)))
+
+
+def verified(sets: DataFrame) -> DataFrame:
+    """(u, v): edges that connect the nodes of (root, node, n, set) as their links do.
+
+    The nodes of one root are candidates of each other. Each is compared with the root's
+    own set first. Those similar to it are one component, so only pairs with one of the
+    others are left: blocks of these meet blocks of all nodes of the root, a task each.
+    """
+    roots = sets.filter("node = root").select("root", F.col("set").alias("root_set"))
+    tried = stage(_against_root(lookup_join(sets.filter("node <> root"), roots, ["root"], "node", "inner")))
+    edges = tried.filter("ok").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    marked = sets.join(tried.filter("not ok").select("node", F.lit(True).alias("open")), "node", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    blocks = lambda c: F.ceil(c / SET_BLOCK).cast("int")
+    sizes = marked.groupBy("root").agg(blocks(F.sum(F.col("n") + 1)).alias("nb"), blocks(F.sum(F.when(F.col("open"), F.col("n") + 1))).alias("nf"))
+    placed = lookup_join(marked, sizes.filter("nf > 0"), ["root"], "node", "inner")
+    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    columns = ["root", "node", "n", "set"]
+    ones = placed.filter("open").select(*columns, "open", own("nf").alias("f"), every("nb").alias("b"))
+    others = placed.select(*columns, F.lit(False).alias("open"), every("nf").alias("f"), own("nb").alias("b"))
+    return edges.union(ones.union(others).groupBy("root", "f", "b").applyInArrow(_compare_blocks, "u long, v long"))
+
+
 def keep_one(docs: DataFrame, near: int = NEAR, both: int = BOTH, shingle: int = WIDE, count: int = FINGERPRINTS) -> DataFrame:
     """``docs`` with one document of each group of similar texts: the smallest id, nulls last."""
     spark = docs.sparkSession
     names = [f"fp{k}" for k in range(count)]
-    rows = stage(with_fingerprints(docs.select(*doc_key(), "doc_id", "text"), shingle, count, ("k1", "k2", "doc_id")))
+    rows = stage(with_fingerprints(docs.select(*doc_key(), "doc_id", "text"), shingle, count, ("k1", "k2", "doc_id"), distinct=True))
     order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("i"), "k1", "k2")
-    firsts = stage(rows.groupBy(*names).agg(F.min(order).alias("first")).withColumn("node", F.xxhash64(*names)))
+    firsts = rows.groupBy(*names, "digest").agg(F.min(order).alias("first")).withColumn("node", F.xxhash64(*names, "digest"))
+    firsts = stage(firsts)  # texts with the same set are one node
     edges = None
     for k, name in enumerate(names):  # one search at a time, so that only its own shuffle is held
         found = stage(search(firsts.select("node", F.col(name).alias("fp"), F.col(names[(k + 1) % count]).alias("other")), near, both))
         edges = found if edges is None else edges.union(found)
         free_shuffles(spark)
-    roots = components(edges).toDF("node", "root")
+    candidates = components(edges).toDF("node", "root")
+    candidates = candidates.union(candidates.select("root", "root").distinct())
+    keys = firsts.join(candidates, "node").select("first.k1", "first.k2", "root", "node")
+    texts = docs.select(*doc_key(), "text").join(keys, ["k1", "k2"]).groupBy("k1", "k2")
+    sets = stage(_sets(texts.agg(*[F.first(c).alias(c) for c in ("root", "node", "text")]), shingle))
+    free_shuffles(spark)
+    roots = components(stage(verified(sets))).toDF("node", "root")
     winners = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     winners = winners.select("first.k1", "first.k2")
     free_shuffles(spark)

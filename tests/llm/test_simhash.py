@@ -137,3 +137,41 @@ def test_keep_one(spark):
     assert want <= set(ids) and {1000, None} <= set(ids) and 1001 not in ids
     assert len(ids) == len(set(ids)) and len(set(ids) - want - {1000, None}) <= 3
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*[t.split()[i:] for i in range(5)])) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_keep_one_counts_a_repeated_line_once(spark):
+    rng = random.Random(11)
+    line = " the same line of nine words on every page"
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) + line * 20 for _ in range(12)]
+    assert max(jaccard(texts[0], t) for t in texts[1:]) < 0.05
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 12
+
+
+@pytest.mark.parametrize("block", [1 << 19, 700])
+def test_keep_one_links_similar_texts_alone(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "SET_BLOCK", block)
+    rng = random.Random(12)
+    rows, want = [], set()
+    for g in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        own = []
+        for k, edits in enumerate([0, 4, 11, 11, 11, 12]):
+            words = list(base)
+            for i in rng.sample(range(0, 400, 7), edits):
+                words[i] = f"e{rng.randrange(10**6)}"
+            own.append((10 * g + k, " ".join(words)))
+        root = list(range(len(own)))
+        for _ in own:
+            root = [min(root[j] for j in range(len(own)) if jaccard(own[i][1], own[j][1]) >= 0.8) for i in range(len(own))]
+        want |= {own[r][0] for r in root}
+        rows += own
+    assert len(want) > 30
+    found = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), near=20, both=44)  # wide, so that every similar pair is a candidate
+    kept = {r.doc_id for r in found.collect()}
+    assert kept == want
