@@ -13,9 +13,12 @@ Each distinct fingerprint goes into the search once, whatever the number of its
 documents. It is sent under its key in each group and, as a visitor, under the
 keys within the threshold, packed by ranges of keys. A key's rows are compared as
 arrays, and only a spanning star of the links found is returned, never all pairs.
-Ranges of far more rows than meant are taken apart by single keys; keys with more
-rows than ``HOT`` are dealt again by key and by further groups of the bits left,
-in which two fingerprints within the radius agree on one group, until no key is hot.
+Ranges of far more rows than meant are taken apart by single keys. In keys with more
+rows than ``HOT`` all rows are compared with one of the commonest fingerprint. Those
+that link to it are connected, so only pairs with one of the others are left: if
+these are many and no fingerprint is hot itself, the key's rows are dealt again by
+further groups of the bits left, in which two fingerprints within the radius agree on
+one group; otherwise they meet all the key's rows in blocks.
 
 ``near_duplicates`` links at ``RADIUS`` bits over three-word shingles.
 ``keep_one`` is for similar texts, a Jaccard similarity of ``SIMILAR`` or more over
@@ -336,6 +339,32 @@ def _deal_again(hot: DataFrame, radius: int) -> DataFrame:
     return hot.select("key", *NODE, "home", "used").mapInArrow(run, ROWS)
 
 
+def _hot_keys(sent: DataFrame, hot: int) -> DataFrame:
+    """(key, c, most, used, p) of the keys with more than ``hot`` rows, one at home at least: rows,
+    rows of the commonest fingerprint, bits used, and a row at home of the commonest there."""
+    home = F.min(F.when(F.col("home"), F.struct("node", "fp", "other"))).alias("p")
+    by = sent.groupBy("key", "fp").agg(F.count(F.lit(1)).alias("c"), F.max("used").alias("used"), home)
+    at = F.max(F.when(F.col("p").isNotNull(), F.struct("c", "p"))).getField("p").alias("p")
+    return by.groupBy("key").agg(F.sum("c").alias("c"), F.max("c").alias("most"), F.max("used").alias("used"), at).filter(F.col("c") > hot)
+
+
+def _against_pivot(sent: DataFrame, big: DataFrame, radius: int, both: int) -> DataFrame:
+    """The rows of the keys of ``big``, with their key's row ``p`` and whether they link to it. Keys without a row at home have no links."""
+    rows = lookup_join(sent, big.filter("p is not null").select("key", "p"), ["key"], "node", "inner")
+    differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp")))
+    more = F.bit_count(F.col("other").bitwiseXOR(F.col("p.other"))) if both > radius else F.lit(0)
+    return rows.withColumn("ok", (differ <= radius) & (differ + more <= both))
+
+
+def _blocks(rows: DataFrame, hot: int) -> DataFrame:
+    """Blocks of the rows that don't link to their key's pivot, each with every block of all the key's rows."""
+    columns = ["key", *NODE, "home"]
+    count = {"f": F.ceil(F.col("n_open") / hot).cast("int"), "b": F.ceil(F.col("c") / hot).cast("int")}
+    own = lambda name: F.pmod(F.xxhash64("node", F.lit(name)), count[name]).cast("int").alias(name)
+    every = lambda name: F.explode(F.sequence(F.lit(0), count[name] - 1)).alias(name)
+    return rows.filter("not ok").select(*columns, own("f"), every("b")).union(rows.select(*columns, every("f"), own("b")))
+
+
 def links_of_keys(key: np.ndarray, node: np.ndarray, fp: np.ndarray, other: np.ndarray, home: np.ndarray, radius: int, both: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges of the links between rows of one key, of which one at least is at home."""
     order = np.lexsort((~home, key))  # a key's rows at home come first
@@ -408,13 +437,19 @@ def search(nodes: DataFrame, radius: int = RADIUS, both: int | None = None, hot:
     found = packed.join(large, "g", "left_anti").groupBy("g").applyInArrow(of_packed, "u long, v long")
     sent = stage(_rows(packed.join(large, "g", "left_semi"), probes))
     while True:
-        big = stage(sent.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot).select("key"))
-        calm = sent.join(big, "key", "left_anti")
+        big = stage(_hot_keys(sent, hot))
+        calm = sent.join(big.select("key"), "key", "left_anti")
         part = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g")
         found = found.union(calm.select(part, "key", *NODE, "home").groupBy("g").applyInArrow(of_rows, "u long, v long"))
         if big.isEmpty():
             return found
-        sent = stage(_deal_again(sent.join(big, "key", "left_semi").filter(F.col("used") != -1), radius))
+        tried = stage(_against_pivot(sent, big, radius, both))
+        found = found.union(tried.filter("ok and node <> p.node").select(F.col("node").alias("u"), F.col("p.node").alias("v")))
+        left = tried.groupBy("key").agg(F.count_if(~F.col("ok")).alias("n_open")).filter("n_open > 0")
+        left = stage(big.join(left, "key").withColumn("deal", F.expr(f"used <> -1 and most <= {hot} and n_open > {(radius + 1) * hot}")))
+        tried = lookup_join(tried.drop("p"), left.select("key", "c", "n_open", "deal"), ["key"], "node", "inner")
+        found = found.union(_blocks(tried.filter("not deal"), hot).groupBy("key", "f", "b").applyInArrow(of_rows, "u long, v long"))
+        sent = stage(_deal_again(tried.filter("deal"), radius))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

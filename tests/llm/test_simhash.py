@@ -79,6 +79,21 @@ def test_search_finds_every_link(spark, radius, hot, group):
     assert all((got[a] == got[b]) == (want[a] == want[b]) for a in fps[::7] for b in fps)
 
 
+@pytest.mark.parametrize(("radius", "both"), [(0, 5), (8, 14)])
+def test_search_compares_equal_fingerprints(spark, radius, both):
+    rng = random.Random(radius)
+    fp, bases = rng.getrandbits(64), [rng.getrandbits(64) for _ in range(6)]
+    rows = [(flipped(rng, fp, rng.randrange(3) if i % 5 == 0 else 0), flipped(rng, rng.choice(bases), rng.randrange(5))) for i in range(700)]
+    signed = np.array(rows, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(i, f, o) for i, (f, o) in enumerate(signed)], "node long, fp long, other long")
+    edges = simhash.search(df, radius, both, hot=40, group=100).collect()
+    got = graph.local_roots(np.array([e.u for e in edges], int), np.array([e.v for e in edges], int), len(rows))
+    f, o = np.array(rows, np.uint64).T
+    near = np.bitwise_count(f[:, None] ^ f)
+    want = graph.local_roots(*np.nonzero((near <= radius) & (near + np.bitwise_count(o[:, None] ^ o) <= both)), len(rows))
+    assert len(set(want.tolist())) > 5 and got.tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("n", [100, 10_000_000, 10_000_000_000])
 def test_plan_keeps_the_pigeonhole(n):
     rng = np.random.default_rng(0)
