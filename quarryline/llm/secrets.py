@@ -8,8 +8,9 @@ Kind ``markov`` adds runs of ``MIN_RUN`` or more base64 characters that no base
 span touches. Two first-order models give each run's log-likelihood: one trained
 on random strings drawn over the usual alphabets by a fixed seed, one on ordinary
 identifiers: the words of a bounded sample of the documents, alone and joined in
-the usual styles. A run is a secret if the ratio is at least ``THRESHOLD`` in all
-and ``PER_CHAR`` for each character.
+the usual styles. A run is a secret if its ratio, or that of a part of ``MIN_RUN`` or
+more characters between separators (``/ + _ - =``), is at least ``THRESHOLD`` in all
+and ``PER_CHAR`` for each character. The span is the whole run, or else those parts.
 
 Offsets are code points, the end exclusive; spans are in the order of their start,
 then of their kind as listed. Null and empty texts have none. Rows are independent
@@ -112,7 +113,15 @@ class Models:
     def is_secret(self, run: bytes) -> bool:
         return self.ratio(run) >= max(THRESHOLD, PER_CHAR * len(run))
 
+    def secrets_in(self, run: bytes) -> list[tuple[int, int]]:
+        """The whole run if it is a secret, else the secrets among the parts between its separators."""
+        if self.is_secret(run):
+            return [(0, len(run))]
+        parts = [m.span() for m in _PART.finditer(run) if m.end() - m.start() >= MIN_RUN]
+        return [(a, b) for a, b in parts if self.is_secret(run[a:b])]
 
+
+_PART = re.compile(rb"[A-Za-z0-9]+")
 _WORD = re.compile(r"[A-Za-z]{2,}")
 
 
@@ -145,8 +154,8 @@ def spans_of(text: bytes, models: Models | None, marked: bool = True, runs: list
     if models is not None:
         base = [(a, b) for a, _, b in out]
         for a, b in runs:
-            if b - a >= MIN_RUN and not any(x < b and a < y for x, y in base) and models.is_secret(text[a:b]):
-                out.append((a, 3, b))
+            if b - a >= MIN_RUN and not any(x < b and a < y for x, y in base):
+                out += [(a + x, 3, a + y) for x, y in models.secrets_in(text[a:b])]
     return sorted(out)
 
 

@@ -52,6 +52,19 @@ def test_models_hold_out(models):
     assert sum(models.is_secret(s.encode()) for s in plain) < 0.01 * len(plain)
 
 
+def test_secret_behind_ordinary_words(models):
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    path = "the/reing/station/stanly/queen/oument/theing_tion-anstre/"
+    found = 0
+    for sep in "/=_-" * 50:
+        key = "".join(rng.choices(alphabet, k=24)).encode()
+        text = (path + "ment" + sep).encode() + key + b"/hating/ouly"
+        found += any(k == 3 and a <= text.index(key) and b >= text.index(key) + 24 for a, k, b in secrets.spans_of(text, models))
+    assert found > 190
+    assert not secrets.spans_of((path + "ment/hating/ouly").encode(), models)
+
+
 def test_redact_and_empty(spark, models):
     key = "xK9fQ2mZ7LpW4vTn8RbY3sHd"
     docs = spark.createDataFrame([(1, f"é my {key} end"), (2, None), (3, "plain words")], "doc_id long, text string")
