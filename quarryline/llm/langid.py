@@ -6,37 +6,45 @@ length is known, the mean of their log frequencies counts, else the next shorter
 length is tried. Words are runs of letters of the lower-cased text; all texts are
 scored whole, with their words hashed as arrays.
 
-Training reads a bounded sample: about ``TRAIN_DOCS`` of the labelled documents,
-chosen by a hash. Counting is distributed; the driver gets the ``TOP_WORDS``
-commonest words and ``TOP_GRAMS`` n-grams of each length, which bounds the
-broadcast model by (TOP_WORDS + 5 TOP_GRAMS) x languages.
+Training reads a bounded sample: ``TRAIN_DOCS`` documents shared out evenly among the
+languages, chosen by a hash. Counting is distributed. Each language keeps its own
+``TOP_WORDS`` commonest words and ``TOP_GRAMS`` n-grams of each length, ties by their
+hash, so a rare language has as many as a common one. Beyond ``ENTRIES`` in all, 16 bytes
+each, the quotas shrink evenly; that bounds what reaches the driver and what is broadcast.
+More than ``LANGUAGES`` languages raise an error.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text
-where nothing was learned. Ties go to the smaller language name. Repeated rows
-give equal rows, and further columns are passed over.
+where nothing was learned: with an empty table, or no labels. Ties go to the smaller
+language name. Repeated rows give equal rows, and further columns, whatever their names,
+are passed over. Very long texts are scored in parts that end at white space, so only a
+single word of many megabytes needs memory in proportion to its length.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.bpe import LETTER, classes
 from quarryline.llm.common import U64, WordHasher, mix, stage, word_bounds
 
-TRAIN_DOCS, TOP_WORDS, TOP_GRAMS = 20_000, 50_000, 20_000
+TRAIN_DOCS, TOP_WORDS, TOP_GRAMS = 20_000, 20_000, 10_000
+#: Entries of the model, (word or n-gram, language), that all languages share.
+ENTRIES = 1_000_000
 GRAMS = (5, 4, 3, 2, 1)
-#: Languages that a model tells apart at most; the commonest are kept.
-LANGUAGES = 200
+#: Languages beyond which training raises an error.
+LANGUAGES = 10_000
 UNKNOWN = "und"
-#: Characters of text scored at a time.
-PART = 1 << 19
+#: Characters of text scored at a time, and texts.
+PART, ROWS = 1 << 19, 500
 SEED = 31
+_BREAK = re.compile(r"\s")
 
 
 class CharHasher(WordHasher):
@@ -52,17 +60,30 @@ def _hasher() -> CharHasher:
     return CharHasher(SEED)
 
 
-def parts(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, end text, code points, offsets) of the lower-cased texts, whole ones."""
+def _pieces(text: str) -> Iterator[str]:
+    """The text in parts of about ``PART`` characters that end at white space."""
+    at = 0
+    while len(text) - at > 2 * PART and (cut := _BREAK.search(text, at + PART)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def parts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers of the texts, code points, offsets) of pieces of the lower-cased texts."""
     held: list[np.ndarray] = []
-    first = size = 0
+    rows: list[int] = []
+    size = 0
     for i, text in enumerate(texts):
-        code = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
-        held.append(code)
-        size += len(code)
-        if size >= PART or i == len(texts) - 1:
-            yield first, i + 1, np.concatenate(held), np.concatenate(([0], np.cumsum([len(c) for c in held])))
-            held, first, size = [], i + 1, 0
+        for piece in _pieces(text or ""):
+            held.append(np.frombuffer(piece.lower().encode("utf-32-le"), np.uint32))
+            rows.append(i)
+            size += len(held[-1])
+            if size >= PART:
+                yield np.array(rows), np.concatenate(held), np.concatenate(([0], np.cumsum([len(c) for c in held])))
+                held, rows, size = [], [], 0
+    if held:
+        yield np.array(rows), np.concatenate(held), np.concatenate(([0], np.cumsum([len(c) for c in held])))
 
 
 def words(code: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,15 +98,18 @@ def gram_ranges(starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarra
     return which, starts[which] + np.arange(len(which)) - before[which]
 
 
+# ---------------------------------------------------------------- training
+
+
 def training_counts(docs: DataFrame) -> DataFrame:
-    """(n, h, lang, c): n is 0 for whole words, else the n-gram's length. Counts are pre-aggregated per batch."""
+    """(n, lang, h, c): n is 0 for whole words, else the n-gram's length. Counts are pre-aggregated per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, lang = np.unique(np.array(batch.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
-            for lo, _, code, offsets in parts(batch.column(1).to_pylist()):
+            for rows, code, offsets in parts(batch.column(1).to_pylist()):
                 starts, ends, first = words(code, offsets)
-                of = lang[lo + np.searchsorted(first, np.arange(len(starts)), "right") - 1]
+                of = lang[np.repeat(rows, np.diff(first))]
                 for n in (0, *GRAMS):
                     if n:
                         which, a = gram_ranges(starts, ends, n)
@@ -96,65 +120,120 @@ def training_counts(docs: DataFrame) -> DataFrame:
                         hashes, counts = np.unique(h[k == v], return_counts=True)
                         m = len(hashes)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(m, n, np.int32)), pa.array(hashes.view(np.int64)), pa.array([str(names[v])] * m, pa.string()), pa.array(counts.astype(np.int64))],
-                            ["n", "h", "lang", "c"],
+                            [pa.array(np.full(m, n, np.int32)), pa.array([str(names[v])] * m, pa.string()), pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))],
+                            ["n", "lang", "h", "c"],
                         )
 
-    made = docs.select("lang", "text").mapInArrow(run, "n int, h long, lang string, c long")
-    return made.groupBy("n", "h", "lang").agg(F.sum("c").alias("c"))
+    made = docs.select("lang", "text").mapInArrow(run, "n int, lang string, h long, c long")
+    return made.groupBy("n", "lang", "h").agg(F.sum("c").alias("c"))
+
+
+def quotas(languages: int) -> tuple[int, int]:
+    """Words, and n-grams of each length, that each language keeps."""
+    share = ENTRIES // (max(1, languages) * (2 + len(GRAMS)))
+    return min(TOP_WORDS, 2 * share), min(TOP_GRAMS, share)
+
+
+def vocabulary(counts: DataFrame, n_words: int, n_grams: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``counts`` with the largest ``c`` per (n, lang), ties by ``h``; and their
+    sums, (n, lang, total, edge, used).
+
+    How many rows have each count is aggregated first: at most some thousand numbers a
+    language, over which running sums give the count ``edge`` that no longer fits whole.
+    Only the rows tied there are ranked.
+    """
+    limit = F.when(F.col("n") == 0, n_words).otherwise(n_grams)
+    of = Window.partitionBy("n", "lang")
+    bins = counts.groupBy("n", "lang", "c").agg(F.count(F.lit(1)).alias("k"))
+    bins = bins.withColumn("upto", F.sum("k").over(of.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)))
+    sums = bins.groupBy("n", "lang").agg(
+        F.sum(F.col("c") * F.col("k")).alias("total"), F.max(F.when(F.col("upto") > limit, F.col("c"))).alias("edge"),
+        F.coalesce(F.max(F.when(F.col("upto") <= limit, F.col("upto"))), F.lit(0)).alias("used"),
+    )
+    sums = stage(sums)  # a row per language and length
+    rows = counts.join(F.broadcast(sums.select("n", "lang", "edge", "used")), ["n", "lang"])
+    above = rows.filter(F.col("edge").isNull() | (F.col("c") > F.col("edge")))
+    tied = rows.filter(F.col("c") == F.col("edge")).withColumn("r", F.row_number().over(of.orderBy("h"))).filter(F.col("r") <= limit - F.col("used"))
+    columns = ["n", "lang", "h", "c"]
+    return above.select(columns).union(tied.select(columns)), sums
+
+
+class Table:
+    """The words, or n-grams of one length: sorted hashes, each with a range of (language, gain).
+
+    A language's log frequency is its ``base``, that of an unseen entry, plus the gain.
+    """
+
+    def __init__(self, h: np.ndarray, lang: np.ndarray, c: np.ndarray, totals: np.ndarray, smooth: float):
+        order = np.lexsort((lang, h))
+        self.hashes, first = np.unique(h[order], return_index=True)
+        self.first = np.append(first, len(h))
+        self.lang = lang[order].astype(np.int32)
+        self.gain = np.log((c[order] + smooth) / smooth).astype(np.float32)
+        self.base = np.log(smooth / (totals + smooth * max(1, len(self.hashes))))
+
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, whether they are known)."""
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return at, self.hashes[at] == h
+
+    def sums(self, at: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int, languages: int) -> np.ndarray:
+        """Per row the weighted gains of the entries at ``at``, for each language."""
+        size = np.diff(self.first)[at]
+        each = np.repeat(np.arange(len(at)), size)
+        entry = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(len(each)) if len(at) else each
+        out = np.bincount(row[each] * languages + self.lang[entry], weight[each] * self.gain[entry], rows * languages)
+        return out.reshape(rows, languages)
 
 
 class Model:
-    """Per length (0: words) the sorted hashes and their log frequency in each language."""
+    """Languages in order, and a table per length (0: words)."""
 
-    def __init__(self, languages: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, languages: list[str], tables: dict[int, Table]):
         self.languages, self.tables = languages, tables
 
-    @staticmethod
-    def look_up(table, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, _ = table
-        if not len(known):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return at, known[at] == hashes
-
-    def word_scores(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """One row of log frequencies per word; zeros if nothing of it is known."""
-        hashes = _hasher()(code, starts, ends)
-        at, known = self.look_up(self.tables[0], hashes)
-        out = np.zeros((len(starts), len(self.languages)), np.float32)
-        out[known] = self.tables[0][1][at[known]]
-        rest = np.flatnonzero(~known)
-        _, one, back = np.unique(hashes[rest], return_index=True, return_inverse=True)
-        some = rest[one]  # each unseen word once
-        scores = np.zeros((len(some), len(self.languages)), np.float32)
-        open_ = np.arange(len(some))
-        for n in GRAMS:
-            if not len(open_):
-                break
-            which, a = gram_ranges(starts[some[open_]], ends[some[open_]], n)
-            at, known = self.look_up(self.tables[n], _hasher()(code, a, a + n))
-            hits = np.bincount(which[known], minlength=len(open_))
-            found = np.flatnonzero(hits)
-            if len(found):
-                sums = np.zeros((len(open_), len(self.languages)))
-                np.add.at(sums, which[known], self.tables[n][1][at[known]])
-                scores[open_[found]] = sums[found] / hits[found, None]
-            open_ = open_[hits == 0]
-        out[rest] = scores[back]
-        return out
+    def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text the sum of its words' log frequencies for each language, and its number of words."""
+        k = len(self.languages)
+        total, n_words = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
+        for rows, code, offsets in parts(texts):
+            starts, ends, first = words(code, offsets)
+            np.add.at(n_words, rows, np.diff(first))
+            if not len(starts) or not k:
+                continue
+            lo = int(rows[0])
+            height = int(rows[-1]) - lo + 1
+            of = np.repeat(rows, np.diff(first)) - lo
+            sums = total[lo : lo + height]
+            table = self.tables[0]
+            at, known = table.look_up(_hasher()(code, starts, ends))
+            sums += table.sums(at[known], of[known], np.ones(int(known.sum())), height, k)
+            sums += np.bincount(of[known], minlength=height)[:, None] * table.base
+            rest = np.flatnonzero(~known)
+            for n in GRAMS:
+                if not len(rest):
+                    break
+                table = self.tables[n]
+                which, a = gram_ranges(starts[rest], ends[rest], n)
+                at, known = table.look_up(_hasher()(code, a, a + n))
+                which, at = which[known], at[known]
+                hits = np.bincount(which, minlength=len(rest))
+                sums += table.sums(at, of[rest][which], 1 / hits[which], height, k)
+                sums += np.bincount(of[rest[hits > 0]], minlength=height)[:, None] * table.base
+                rest = rest[hits == 0]
+        return total, n_words
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names: list[str] = []
         scores: list[float] = []
-        for lo, hi, code, offsets in parts(texts):
-            starts, ends, first = words(code, offsets)
+        for lo in range(0, len(texts), ROWS):
+            total, n = self.totals(texts[lo : lo + ROWS])
             if not self.languages:
-                names += [UNKNOWN] * (hi - lo)
-                scores += [0.0] * (hi - lo)
+                names += [UNKNOWN] * len(n)
+                scores += [0.0] * len(n)
                 continue
-            sums = np.concatenate((np.zeros((1, len(self.languages))), np.cumsum(self.word_scores(code, starts, ends), axis=0, dtype=np.float64)))
-            total, n = sums[first[1:]] - sums[first[:-1]], np.diff(first)
             # Confidence grows with the root of the number of words: neighbours depend on each other.
             x = total / np.sqrt(np.maximum(n, 1))[:, None]
             x = np.exp(x - x.max(axis=1, keepdims=True))
@@ -165,53 +244,34 @@ class Model:
         return names, scores
 
 
-def commonest(by: DataFrame, limit: int) -> list:
-    """About the ``limit`` rows of (h, s, by) with the largest ``s``, never more, in a fixed order.
-
-    Counts per bin of the logarithm, a few hundred rows, give the bins that fit; of the
-    first that does not fit, a range of hashes fills up. An ordered limit would send as
-    many rows from each task to the driver.
-    """
-    slot = F.floor(F.log2("s") * 16)
-    bins = by.groupBy(slot.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()
-    room, keep = limit, F.lit(False)
-    for r in bins:
-        if r.n > room:
-            # A little under the share that is left, so that chance doesn't exceed the limit.
-            part = max(0, int((1 << 20) * (room - 4 * room**0.5) / r.n))
-            keep = keep | ((slot == r.b) & (F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < part))
-            break
-        keep = keep | (slot == r.b)
-        room -= r.n
-    return sorted(by.filter(keep).collect(), key=lambda r: (-r.s, r.h))[:limit]
+def training_sample(docs: DataFrame, labelled: Column) -> tuple[DataFrame, list[str]]:
+    """(lang, text) of about ``TRAIN_DOCS`` rows in all where ``labelled`` holds, as many of each language as there are; and the languages."""
+    rows = docs.filter(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    sizes = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    each = TRAIN_DOCS // max(1, len(sizes)) or 1
+    if any(r["count"] > each for r in sizes):
+        table = [(r.lang, min(1 << 20, max(1, (each << 20) // r["count"]))) for r in sizes]
+        shares = F.broadcast(docs.sparkSession.createDataFrame(table, "lang string, share long"))
+        rows = rows.join(shares, "lang").filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1 << 20)) < F.col("share"))
+    return rows.select("lang", "text"), sorted(r.lang for r in sizes)
 
 
 def train(docs: DataFrame, labelled: Column, smooth: float = 0.5) -> Model:
     """The model from the rows of ``docs`` (doc_id, text, lang) where ``labelled`` holds and lang is not null."""
-    rows = docs.filter(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.count()
-    if total > TRAIN_DOCS:
-        part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(1 << 20))
-        rows = rows.filter(part < max(1, (TRAIN_DOCS << 20) // total))
+    rows, languages = training_sample(docs, labelled)
     counts = stage(training_counts(rows))
-    sums = counts.filter("n = 0").groupBy("lang").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r.lang for r in sums)
-    totals = {(r.n, r.lang): r.s for r in counts.groupBy("n", "lang").agg(F.sum("c").alias("s")).collect()}
-    tables = {}
+    chosen, sums = vocabulary(counts, *quotas(len(languages)))
+    totals = {n: np.zeros(len(languages)) for n in (0, *GRAMS)}
     place = {x: i for i, x in enumerate(languages)}
-    for n in (0, *GRAMS):
-        by = counts.filter(F.col("n") == n).groupBy("h").agg(F.sum("c").alias("s"), F.collect_list(F.struct("lang", "c")).alias("by"))
-        top = commonest(by, TOP_GRAMS if n else TOP_WORDS)
-        hashes = np.array([r.h for r in top], np.int64).view(U64)
-        values = np.zeros((len(top), len(languages)))
-        for i, r in enumerate(top):
-            for x in r.by:
-                if x.lang in place:
-                    values[i, place[x.lang]] = x.c
-        size = np.array([totals.get((n, x), 0) for x in languages], float)
-        order = np.argsort(hashes)
-        tables[n] = (hashes[order], np.log((values[order] + smooth) / (size + smooth * max(1, len(top)))).astype(np.float32))
-    return Model(languages, tables)
+    for r in sums.select("n", "lang", "total").collect():
+        totals[r.n][place[r.lang]] = r.total
+    kept = chosen.toArrow()
+    n, h, c = (kept.column(name).to_numpy() for name in ("n", "h", "c"))
+    names = kept.column("lang").combine_chunks().dictionary_encode()
+    lang = np.array([place[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()] if len(n) else np.zeros(0, np.int64)
+    return Model(languages, {k: Table(h[n == k].view(U64), lang[n == k], c[n == k], totals[k], smooth) for k in totals})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
