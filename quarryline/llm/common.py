@@ -1,11 +1,9 @@
-"""What the operators share: inputs, stages in shared storage, byte buffers, hashes."""
+"""What the operators share: stages in shared storage, byte buffers, hashes."""
 
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Iterator
-from tempfile import mkdtemp
 
 import numpy as np
 import pyarrow as pa
@@ -13,47 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.sources.staging import discard, materialize as stage  # noqa: F401
+from quarryline.sources.tables import read_table  # noqa: F401
+
 U64 = np.uint64
 #: Bytes of text that one round of array operations takes; bounds a worker's memory.
 CHUNK = 1 << 21
 
 
-#: Rows that a Python worker gets at a time; the default of 10,000 whole texts takes a lot of memory.
-BATCH_ROWS = 2_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as parquet in the shared folder and reads it back.
-
-    This cuts the lineage, survives lost executors, and lets the shuffles behind
-    it go once nothing refers to them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets the driver drop shuffle files that nothing refers to any more."""
+    """Lets the driver drop shuffle files that nothing refers to any more. Only disk depends on it."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -142,14 +109,6 @@ def word_bounds(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Positions that are the leftmost minimum of some ``width`` neighbours; all if there are fewer."""
-    n = len(values)
-    if n <= width:
-        return np.array([int(values.argmin())]) if n else np.zeros(0, np.int64)
-    return np.unique(window_argmin(values, width))
-
-
 def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """For each full window of ``width`` values the position of its leftmost minimum, by doubling."""
     n = len(values)
