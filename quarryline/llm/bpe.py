@@ -8,8 +8,15 @@ entries can be out of date; they are recognised by the pair's current rank and
 skipped. Each merge costs O(log n) whatever the piece's length, so a piece of a
 million bytes takes no quadratic time.
 
-Null and empty texts have no tokens. Rows are independent of each other: repeated
-rows give equal rows, no row is dropped, and further columns are passed over.
+The pieces of a batch that a worker doesn't hold yet share one such list and queue, with
+borders that no pair crosses, so that the bits are searched once per rank and not once
+per merge. A piece in which a merge makes a pair of lower rank, which has to go before
+other pairs of that piece, leaves the batch for a queue of its own, as long pieces do.
+
+Null and empty texts have no tokens, an empty table gives no rows. Rows are independent of
+each other: repeated rows give equal rows, no row is dropped, and further columns, whatever
+their names, are passed over. Very long texts are split in parts, very long pieces take
+memory in proportion to their length.
 """
 
 from __future__ import annotations
@@ -37,9 +44,11 @@ LEAF_BITS = 8
 LEAF = (1 << LEAF_BITS) - 1
 #: Pieces whose ids a worker keeps, in two generations of half as many, and pairs whose ranks
 #: it keeps; only speed depends on them. A piece takes about 200 bytes.
-CACHED_PIECES, CACHED_PAIRS = 500_000, 400_000
-#: Characters of text that are split at a time.
-SPLIT_CHARS = 1 << 19
+CACHED_PIECES, CACHED_PAIRS = 1_000_000, 400_000
+#: Characters of text that are split at a time, and looked up at a time.
+SPLIT_CHARS, LOOK_UP = 1 << 19, 1 << 20
+#: Bytes of a piece that shares a queue at most, and of the pieces that share one.
+SHORT_PIECE, JOINT = 1 << 10, 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -70,6 +79,111 @@ class Encoder:
         self.width = max(self.tokens) + 1
         self.bytes = [ranks[bytes([b])] for b in range(256)]
         self.pairs = Pairs(ranks, self.tokens, self.width)
+        self.singles = np.array(self.bytes)
+        self.doubles = np.full(1 << 16, -1)  # the rank of each two bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.doubles[token[0] << 8 | token[1]] = rank
+
+    def encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each piece."""
+        out = [b""] * len(pieces)
+        held: list[int] = []
+        size = 0
+        for i, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[i] = np.uint32(whole).tobytes()
+            elif len(piece) > SHORT_PIECE:
+                out[i] = np.array(self.encode(piece), np.uint32).tobytes()
+            else:
+                held.append(i)
+                size += len(piece)
+            if held and (size >= JOINT or i == len(pieces) - 1):
+                for k, ids in zip(held, self.encode_joint([pieces[k] for k in held]), strict=True):
+                    out[k] = ids
+                held, size = [], 0
+        return out
+
+    def encode_joint(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each piece, all merged in one list."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(data)
+        ends = np.cumsum([len(x) for x in pieces])
+        starts = np.concatenate(([0], ends[:-1]))
+        ranks = np.full(n, -1)
+        ranks[:-1] = self.doubles[data[:-1].astype(np.int64) << 8 | data[1:]]
+        ranks[ends - 1] = -1
+        at = np.arange(n + 1)
+        following, previous = at + 1, at - 1
+        following[ends - 1], previous[starts] = n, n  # past the border
+        ids, now, following, previous = self.singles[data].tolist(), ranks.tolist(), following.tolist(), previous.tolist()
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        found, first = np.unique(ranks[order], return_index=True)
+        buckets = dict(zip(found.tolist(), [x.tolist() for x in np.split(order, first[1:])], strict=True)) if len(order) else {}
+        leaves: dict[int, int] = {}
+        top = 0
+        for r in buckets:
+            leaves[r >> LEAF_BITS] = leaves.get(r >> LEAF_BITS, 0) | 1 << (r & LEAF)
+            top |= 1 << (r >> LEAF_BITS)
+        gone = bytearray(n)
+        apart: dict[int, bytes] = {}
+        pairs, width = self.pairs, self.width
+        while top:
+            hi = (top & -top).bit_length() - 1
+            leaf = leaves[hi]
+            r = hi << LEAF_BITS | (leaf & -leaf).bit_length() - 1
+            leaves[hi] = leaf = leaf & (leaf - 1)
+            if not leaf:
+                top &= top - 1
+            bucket = buckets.pop(r)
+            bucket.sort()  # later entries stand behind the first ones
+            base = r * width
+            for i in bucket:
+                if now[i] != r:
+                    continue  # stale
+                ids[i] = r
+                j = following[i]
+                k = following[i] = following[j]
+                now[j] = -1
+                gone[j] = 1
+                x = y = -1
+                if k < n:
+                    previous[k] = i
+                    x = pairs[base + ids[k]]
+                    if x > r:
+                        if x in buckets:
+                            buckets[x].append(i)
+                        else:
+                            buckets[x] = [i]
+                            hi = x >> LEAF_BITS
+                            leaves[hi] = leaves.get(hi, 0) | 1 << (x & LEAF)
+                            top |= 1 << hi
+                now[i] = x
+                j = previous[i]
+                if j < n:
+                    y = now[j] = pairs[ids[j] * width + r]
+                    if y > r:
+                        if y in buckets:
+                            buckets[y].append(j)
+                        else:
+                            buckets[y] = [j]
+                            hi = y >> LEAF_BITS
+                            leaves[hi] = leaves.get(hi, 0) | 1 << (y & LEAF)
+                            top |= 1 << hi
+                if -1 < x < r or -1 < y < r:
+                    piece = int(np.searchsorted(ends, i, "right"))
+                    apart[piece] = np.array(self.encode(pieces[piece]), np.uint32).tobytes()
+                    a, b = int(starts[piece]), int(ends[piece])
+                    now[a:b] = [-1] * (b - a)
+        left = np.frombuffer(gone, np.uint8) == 0
+        cut = (np.concatenate(([0], np.cumsum(left)))[ends] * 4).tolist()
+        packed = np.array(ids, np.uint32)[left].tobytes()
+        out = [packed[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+        for piece, own in apart.items():
+            out[piece] = own
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -229,8 +343,8 @@ def splitter(pattern: str):
 
 
 class Codec(dict):
-    """Pieces to their packed ids, made on first use; also decodes. A full generation of
-    pieces becomes the older one, from which pieces that are used again come back."""
+    """Pieces to their packed ids, kept once made; also decodes. A full generation of pieces
+    becomes the older one, from which pieces that are used again come back."""
 
     def __init__(self, path: str, pattern: str):
         self.encoder = Encoder(load_ranks(path))
@@ -238,19 +352,47 @@ class Codec(dict):
         self.decimals = [b"%d" % i for i in range(self.encoder.width)]
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = np.array(self.encoder.encode(piece.encode()), np.uint32).tobytes()
-        if len(piece) <= 64:
-            if len(self) >= CACHED_PIECES // 2:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+    def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The packed ids of pieces that the newer generation lacks."""
+        found: dict[str, bytes] = {}
+        fresh = []
+        for piece in pieces:
+            ids = self.older.get(piece)
+            if ids is None:
+                fresh.append(piece)
+            else:
+                found[piece] = ids
+        found |= zip(fresh, self.encoder.encode_all([x.encode() for x in fresh]), strict=True)
+        if len(self) + len(found) > CACHED_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
+        if len(found) <= CACHED_PIECES // 2:
+            self |= {k: v for k, v in found.items() if len(k) <= 64}
+        return found
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; the pieces of some texts at a time are looked up together."""
+        held: list[tuple[list[str], list[bytes | None]]] = []
+        size = 0
+        for text in texts:
+            pieces = self.split(text)
+            held.append((pieces, list(map(self.get, pieces))))
+            size += len(text)
+            if size >= LOOK_UP:
+                yield from self._made(held)
+                held, size = [], 0
+        yield from self._made(held)
+
+    def _made(self, held: list[tuple[list[str], list[bytes | None]]]) -> Iterator[np.ndarray]:
+        holes = [[k for k, x in enumerate(found) if x is None] if None in found else [] for _, found in held]
+        learnt = self.learn(dict.fromkeys(pieces[k] for (pieces, _), own in zip(held, holes, strict=True) for k in own))
+        for (pieces, found), own in zip(held, holes, strict=True):
+            for k in own:
+                found[k] = learnt[pieces[k]]
+            yield np.frombuffer(b"".join(found), np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), np.uint32)
+        return next(self.encode_all([text]))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.encoder.tokens.__getitem__, ids))
@@ -281,7 +423,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokeni
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [c.encode(x or "") for x in part.column(1).to_pylist()]
+                ids = list(c.encode_all(x or "" for x in part.column(1).to_pylist()))
                 decoded = [c.decode(x.tolist()) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.binary())],
@@ -298,8 +440,8 @@ def encode_digests(docs: DataFrame, path: str = VOCABULARY, pattern: str = publi
         c = codec(path, pattern)
         for batch in batches:
             sizes, ids_sha, decoded_sha = [], [], []
-            for text in batch.column(1):
-                ids = c.encode(text.as_py() or "").tolist()
+            for found in c.encode_all(x.as_py() or "" for x in batch.column(1)):
+                ids = found.tolist()
                 sizes.append(len(ids))
                 ids_sha.append(hashlib.sha256(b",".join(map(c.decimals.__getitem__, ids))).hexdigest())
                 decoded_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())

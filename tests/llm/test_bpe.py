@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -58,3 +59,31 @@ def test_rows(spark):
 def test_other_pattern(pattern):
     c = bpe.Codec(bpe.VOCABULARY, pattern)
     assert c.decode(c.encode("one two\nthree")) == b"one two\nthree"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_joint_queue_with_any_order_of_ranks(seed):
+    rng = random.Random(seed)
+    tokens = [bytes([b]) for b in range(256)]
+    tokens += sorted({bytes(rng.choices(b"abc", k=rng.randrange(2, 7))) for _ in range(300)})
+    rng.shuffle(tokens)  # a merge may well make a pair of lower rank
+    ranks = {t: i for i, t in enumerate(tokens)}
+    peer = tiktoken.Encoding("any", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    encoder = bpe.Encoder(ranks)
+    pieces = ["".join(rng.choices("abcd", k=rng.randrange(1, 40))) for _ in range(2000)] + ["abcabc" * 400, "a" * 3000]
+    alone = []
+    single = encoder.encode
+    encoder.encode = lambda piece: alone.append(piece) or single(piece)
+    found = encoder.encode_all([p.encode() for p in pieces])
+    assert [np.frombuffer(x, np.uint32).tolist() for x in found] == [peer.encode_ordinary(p) for p in pieces]
+    assert len(alone) > 10
+
+
+def test_small_caches(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 20)
+    monkeypatch.setattr(bpe, "LOOK_UP", 200)
+    monkeypatch.setattr(bpe, "JOINT", 64)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gammadelta", "éé", "12345", "x" * 90], k=rng.randrange(0, 60))) for _ in range(50)]
+    c = bpe.Codec(bpe.VOCABULARY, public_tokenizers.PATTERN)
+    assert [x.tolist() for x in c.encode_all(texts)] == [PEER.encode_ordinary(t) for t in texts]
