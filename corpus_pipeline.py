@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import bpe, lines, quality, simhash, winnow
-from quarryline.llm.common import free_shuffles, read_table, small_batches, stage
+from quarryline.llm.common import discard, free_shuffles, read_table, stage
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,6 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts stays, the one with the smallest id."""
-    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -41,7 +40,6 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document left."""
-    small_batches(spark)
     return bpe.encode_digests(docs)
 
 
@@ -60,8 +58,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = read_table(spark, sf_dir, "documents")
     for name, function in STAGES:
-        out = function(spark, out, sf_dir)
+        made = function(spark, out, sf_dir)
         if name != STAGES[-1][0]:
-            out = stage(out)
+            made = stage(made)
+            discard(out)  # nothing reads a stage once its successor is written
             free_shuffles(spark)
+        out = made
     return out
