@@ -18,12 +18,15 @@ pre-aggregated; the join back to the documents is a semi-join that splits under
 skew. What survives is packed: one row holds the word hashes of all regions of a
 few hundred documents. Later levels send each distinct hash of a row once, to a
 bucket of the hash range, and get one bit back, so a passage that a third of all
-documents share arrives once per packed row, not once per document.
+documents share arrives once per packed row, not once per document. The hashes are mixed
+again first, since smallest ones would crowd the lowest buckets. A table that a level
+wrote goes once the next one is written.
 
 Words are runs of bytes other than space and \\x09-\\x0D. Null and empty texts have
 no words, and texts below ``window`` words no windows. Rows that repeat id and
-text are further occurrences of each other. Further columns are kept by
-``remove_repeats`` and passed over by ``removal_digests``.
+text are further occurrences of each other. An empty table gives no rows. Further columns,
+whatever their names, are kept by ``remove_repeats`` and passed over by
+``removal_digests``. A very long text takes memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import U64, WordHasher, chunks, doc_key, free_shuffles, mix, stage, window_argmin, word_bounds
+from quarryline.llm.common import U64, WordHasher, chunks, discard, doc_key, free_shuffles, mix, stage, window_argmin, word_bounds
 
 WINDOW = 35
 #: The first level's length lies below this.
@@ -176,7 +179,7 @@ def _candidates(words: np.ndarray, first: np.ndarray, window: int, n: int):
     starts = _inside(first, window)
     hashes, at = chosen_runs(words, starts, window, n)
     places, which = np.unique(at, return_inverse=True)
-    h = hashes[places]
+    h = mix(hashes[places] ^ _K[1])  # the smallest of several hashes is small: mixed again, they spread evenly
     g = run_hashes(words, n, _K[1])[places]
     order = np.lexsort((g, h))
     new = np.ones(len(order), bool)
@@ -285,6 +288,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeated = stage(seeds.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"))
     alive = seeds.join(repeated, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list("pos").alias("seeds"))
     regions = stage(_regions(docs, alive, window, steps[0]))
+    discard(seeds, repeated)
+    del seeds, repeated, alive
     for n in steps[1:]:
         free_shuffles(spark)
         total = regions.agg(F.sum("n")).first()[0]
@@ -293,8 +298,12 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
         replies = _repeats(regions, window, n, buckets)
         if n == window:
-            return stage(_spans(regions, replies, window))
-        regions = stage(_narrow(regions, replies, window, n))
+            spans = stage(_spans(regions, replies, window))
+            discard(regions)
+            return spans
+        narrowed = stage(_narrow(regions, replies, window, n))
+        discard(regions)
+        regions = narrowed
     return spark.createDataFrame([], "k1 long, k2 long, spans binary")
 
 

@@ -57,3 +57,12 @@ def test_remove_keeps_columns(spark):
     docs = spark.createDataFrame([(1, f"a\n{twice} b", "p"), (2, f"{twice}", "q"), (3, "un  touched", "r"), (4, None, None)], "doc_id long, text string, spans string")
     kept = {r.doc_id: (r.text, r.spans) for r in substring.remove_repeats(docs).collect()}
     assert kept == {1: ("a b", "p"), 2: ("", "q"), 3: ("un  touched", "r"), 4: (None, None)}
+
+
+def test_a_long_text(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(60))
+    long = " ".join(f"w{rng.randrange(10**8)}" for _ in range(1_000_000))
+    docs = spark.createDataFrame([(1, f"{long} {passage}"), (2, f"start {passage} end"), (3, "x" * 4_000_000)], "doc_id long, text string")
+    found = {r.doc_id: r for r in substring.removal_digests(docs).collect()}
+    assert [(found[i].n_words, found[i].n_removed) for i in (1, 2, 3)] == [(1_000_060, 60), (62, 60), (1, 0)]
