@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.joins import lookup_join
-from quarryline.llm.common import free_shuffles, stage
+from quarryline.llm.common import discard, free_shuffles, stage
 
 ROUNDS = 60
 
@@ -72,7 +72,7 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes with an edge other than the roots; ``edges`` has two long columns.
 
-    The root is the smallest node reachable. No edges give no rows.
+    The root is the smallest node reachable. No edges give no rows. The result is staged.
     """
     e = edges.toDF("u", "v").filter("u <> v")
     e = stage(_thin(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
@@ -81,7 +81,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         if not before.n:
             break
-        e = stage(_small_star(_large_star(e)))
+        older, e = e, stage(_small_star(_large_star(e)))
+        discard(older)
         free_shuffles(edges.sparkSession)
         now = e.agg(*mark).first()
         if now == before:

@@ -13,27 +13,30 @@ Each distinct fingerprint goes into the search once, whatever the number of its
 documents. It is sent under its key in each group and, as a visitor, under the
 keys within the threshold, packed by ranges of keys. A key's rows are compared as
 arrays, and only a spanning star of the links found is returned, never all pairs.
-Ranges of far more rows than meant are taken apart by single keys. In keys with more
-rows than ``HOT`` all rows are compared with one of the commonest fingerprint. Those
-that link to it are connected, so only pairs with one of the others are left: if
-these are many and no fingerprint is hot itself, the key's rows are dealt again by
+Ranges of far more rows than meant are taken apart by single keys. Rows are counted per
+key, in whatever range: those of keys with more than ``HOT`` are handed on instead of
+compared, and first meet one row of the key's commonest fingerprint. Those that link to
+it are connected, so only pairs with one of the others are left. If these are many and no
+fingerprint is hot itself, the key's rows are dealt again, ``DEALS`` times at most, by
 further groups of the bits left, in which two fingerprints within the radius agree on
-one group; otherwise they meet all the key's rows in blocks.
+one group. What is left meets all the key's rows in blocks, so that every pair is
+compared, whatever the rows have in common.
 
 ``near_duplicates`` links at ``RADIUS`` bits over three-word shingles.
 ``keep_one`` is for similar texts, a Jaccard similarity of ``SIMILAR`` or more over
 their sets of five-word shingles: there each text has ``FINGERPRINTS`` independent
 fingerprints, in which a repeated shingle counts once. Each is searched at ``NEAR``
 bits, and a pair is a candidate if it and the next one together differ in no more
-than ``BOTH`` of 128 bits, which is what that similarity leads to on average.
+than ``BOTH`` of 128 bits; a test has the recall. That similarity differs in 19 on average.
 Candidates only say which texts to compare: inside each component of them the sets
-themselves are compared, and only pairs of that similarity link. The README has the
-recall.
+themselves are compared, and only pairs of that similarity link.
 
 A null text counts as empty: fingerprint zero, linked like any other. Rows with
 a null id take part, but name no component; a component of such rows alone has a
 null id. Repeated rows give repeated rows in ``near_duplicates``, and one of them
-stays in ``keep_one``, which keeps all columns.
+stays in ``keep_one``, which keeps all columns; ``near_duplicates`` passes further columns
+over, whatever their names. Empty tables give no rows. A very long text takes memory in
+proportion to its length, its hashes are counted in parts.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.joins import lookup_join
-from quarryline.llm.common import U64, doc_key, free_shuffles, mix, stage
+from quarryline.llm.common import U64, discard, doc_key, free_shuffles, mix, stage
 from quarryline.llm.graph import components, local_roots, spanning_stars
 from quarryline.llm.xxh import xxh64
 
@@ -57,13 +60,15 @@ BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: About how many fingerprints correlations and candidate counts are estimated from.
 SAMPLE = 20_000
 #: ``keep_one``: words of a shingle, fingerprints, bits of a search and of two fingerprints together.
-WIDE, FINGERPRINTS, NEAR, BOTH = 5, 4, 8, 20
+WIDE, FINGERPRINTS, NEAR, BOTH = 5, 5, 8, 24
 #: The similarity that links, as a fraction; shingles of a block of sets that one task compares.
 SIMILAR, SET_BLOCK = (4, 5), 1 << 19
 #: Cost of a row sent, in pairs compared: about a microsecond against five nanoseconds.
 ROW_COST = 200.0
 #: Rows of one key above which it is dealt again, and rows that one group of keys is meant to hold.
 HOT, GROUP = 4_096, 1 << 18
+#: How often a hot key's rows are dealt again: each time copies them ``radius + 1`` times.
+DEALS = 2
 #: Links that a task holds before it reduces them to spanning stars.
 HELD = 1 << 20
 #: Bytes of text hashed at a time, and hashes counted at a time.
@@ -258,6 +263,7 @@ class Probes:
 NODE = {"node": np.int64, "fp": U64, "other": U64}
 PACKED = "g int, n long, node binary, fp binary, other binary, code binary"
 ROWS = "key long, node long, fp long, other long, home boolean, used long"
+OUTCOME = f"u long, v long, {ROWS}"
 
 
 def _send(nodes: DataFrame, probes: Probes, groups: int) -> DataFrame:
@@ -301,6 +307,23 @@ def _unpack(table: pa.Table | pa.RecordBatch, probes: Probes) -> tuple[np.ndarra
     return key, node, fp, other, flips == 0, group
 
 
+def _sizes(nodes: DataFrame, probes: Probes, groups: int) -> DataFrame:
+    """(g, n): the rows that ``_send`` makes for each range of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(g << 64) // groups for g in range(1, groups)], U64)
+        for batch in batches:
+            fp = np.asarray(batch.column(0)).view(U64)
+            n = np.zeros(groups, np.int64)
+            for at in range(0, len(fp), 1 << 13):
+                for k, flip in probes.codes:
+                    n += np.bincount(np.searchsorted(edges, probes.keys(fp[at : at + (1 << 13)], k, U64(flip)), "right"), minlength=groups)
+            full = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(n[full])], ["g", "n"])
+
+    return nodes.select("fp").mapInArrow(run, "g int, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
+
 def _row_batch(key, node, fp, other, home, used) -> pa.RecordBatch:
     longs = [pa.array(x.view(np.int64)) for x in (key, node, fp, other)]
     return pa.RecordBatch.from_arrays([*longs, pa.array(home), pa.array(used.view(np.int64))], ["key", "node", "fp", "other", "home", "used"])
@@ -329,7 +352,7 @@ def _deal_again(hot: DataFrame, radius: int) -> DataFrame:
             for u in np.unique(used).tolist():
                 rows = np.flatnonzero(used == U64(u))
                 left = [b for b in range(BITS) if not u >> b & 1]
-                for k in range(min(radius + 1, len(left))):
+                for k in range(radius + 1):
                     bits = left[k :: radius + 1]
                     now = np.full(len(rows), u | sum(1 << b for b in bits), U64)
                     with np.errstate(over="ignore"):
@@ -401,6 +424,19 @@ def links_of_keys(key: np.ndarray, node: np.ndarray, fp: np.ndarray, other: np.n
     return nodes[linked], nodes[root[linked]]
 
 
+def _outcome(key, node, fp, other, home, used, radius: int, both: int, hot: int) -> pa.Table:
+    """The links of the keys with ``hot`` rows or fewer, and the rows of the others."""
+    _, place, size = np.unique(key, return_inverse=True, return_counts=True)
+    later = size[place] > hot
+    now = ~later
+    u, v = links_of_keys(key[now], node[now], fp[now], other[now], home[now], radius, both)
+    rows = _row_batch(*[x[later] for x in (key, node, fp, other, home, used)])
+    nulls = lambda kind, n: pa.nulls(n, kind)
+    ends = [pa.concat_arrays([pa.array(x, pa.int64()), nulls(pa.int64(), rows.num_rows)]) for x in (u, v)]
+    rest = [pa.concat_arrays([nulls(c.type, len(u)), c]) for c in rows.columns]
+    return pa.table([*ends, *rest], ["u", "v", *rows.schema.names])
+
+
 def _edge_table(links: tuple[np.ndarray, np.ndarray]) -> pa.Table:
     return pa.table({"u": pa.array(links[0], pa.int64()), "v": pa.array(links[1], pa.int64())})
 
@@ -417,39 +453,57 @@ def search(nodes: DataFrame, radius: int = RADIUS, both: int | None = None, hot:
         return nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     # A hash picks about SAMPLE of them where they are: an ordered limit would send as many from each task.
     part = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < min(1 << 30, (SAMPLE << 30) // n)
-    sample = nodes.filter(part).select("fp").toPandas()["fp"].to_numpy(np.int64).view(U64)
+    sample = nodes.filter(part).select("fp").toArrow().column("fp").to_numpy().view(U64)
     probes = Probes(plan(sample[np.argsort(mix(sample))], n, radius))
     rows = n * len(probes.codes)
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // group))
 
+    masks = np.array([probes.used(k) for k in range(len(probes.chosen))], U64)
+
     def of_packed(table: pa.Table) -> pa.Table:
-        *columns, _ = _unpack(table, probes)
-        return _edge_table(links_of_keys(*columns, radius, both))
+        *columns, which = _unpack(table, probes)
+        return _outcome(*columns, masks[which], radius, both, hot)
 
     def of_rows(table: pa.Table) -> pa.Table:
         key, node, fp, other = (table.column(name).to_numpy().view(U64) for name in ("key", *NODE))
         return _edge_table(links_of_keys(key, node.view(np.int64), fp, other, table.column("home").to_numpy(), radius, both))
 
+    large = stage(_sizes(nodes, probes, groups).filter(F.col("n") > 4 * group).select("g"))
     packed = _send(nodes, probes, groups)
-    large = stage(packed.groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") > 4 * group).select("g"))
-    if large.isEmpty():
-        return packed.groupBy("g").applyInArrow(of_packed, "u long, v long")
-    found = packed.join(large, "g", "left_anti").groupBy("g").applyInArrow(of_packed, "u long, v long")
-    sent = stage(_rows(packed.join(large, "g", "left_semi"), probes))
-    while True:
+    apart = not large.isEmpty()
+    outcome = stage((packed.join(large, "g", "left_anti") if apart else packed).groupBy("g").applyInArrow(of_packed, OUTCOME))
+    found = outcome.filter("u is not null").select("u", "v")
+    columns = ["key", *NODE, "home", "used"]
+    sent = outcome.filter("u is null").select(columns)
+    if apart:
+        sent = stage(sent.union(_rows(packed.join(large, "g", "left_semi"), probes)))
+    elif sent.isEmpty():
+        return found
+    held = [large, outcome, sent]
+    for deals_left in range(DEALS, -1, -1):
         big = stage(_hot_keys(sent, hot))
         calm = sent.join(big.select("key"), "key", "left_anti")
         part = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g")
         found = found.union(calm.select(part, "key", *NODE, "home").groupBy("g").applyInArrow(of_rows, "u long, v long"))
+        held.append(big)
         if big.isEmpty():
-            return found
+            break
         tried = stage(_against_pivot(sent, big, radius, both))
         found = found.union(tried.filter("ok and node <> p.node").select(F.col("node").alias("u"), F.col("p.node").alias("v")))
         left = tried.groupBy("key").agg(F.count_if(~F.col("ok")).alias("n_open")).filter("n_open > 0")
-        left = stage(big.join(left, "key").withColumn("deal", F.expr(f"used <> -1 and most <= {hot} and n_open > {(radius + 1) * hot}")))
-        tried = lookup_join(tried.drop("p"), left.select("key", "c", "n_open", "deal"), ["key"], "node", "inner")
-        found = found.union(_blocks(tried.filter("not deal"), hot).groupBy("key", "f", "b").applyInArrow(of_rows, "u long, v long"))
-        sent = stage(_deal_again(tried.filter("deal"), radius))
+        again = f"bit_count(used) < {BITS - radius} and most <= {hot} and n_open > {(radius + 1) * hot}" if deals_left else "false"
+        left = stage(big.join(left, "key").withColumn("deal", F.expr(again)))
+        opened = lookup_join(tried.drop("p"), left.select("key", "c", "n_open", "deal"), ["key"], "node", "inner")
+        found = found.union(_blocks(opened.filter("not deal"), hot).groupBy("key", "f", "b").applyInArrow(of_rows, "u long, v long"))
+        held += [tried, left]
+        if left.filter("deal").isEmpty():
+            break
+        sent = stage(_deal_again(opened.filter("deal"), radius))
+        held.append(sent)
+    edges = stage(found)
+    discard(*held)
+    free_shuffles(spark)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -554,20 +608,25 @@ def keep_one(docs: DataFrame, near: int = NEAR, both: int = BOTH, shingle: int =
     order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("i"), "k1", "k2")
     firsts = rows.groupBy(*names, "digest").agg(F.min(order).alias("first")).withColumn("node", F.xxhash64(*names, "digest"))
     firsts = stage(firsts)  # texts with the same set are one node
-    edges = None
+    edges, links = None, []
     for k, name in enumerate(names):  # one search at a time, so that only its own shuffle is held
         found = stage(search(firsts.select("node", F.col(name).alias("fp"), F.col(names[(k + 1) % count]).alias("other")), near, both))
         edges = found if edges is None else edges.union(found)
+        links.append(found)
         free_shuffles(spark)
     candidates = components(edges).toDF("node", "root")
+    discard(rows, *links)
     candidates = candidates.union(candidates.select("root", "root").distinct())
     keys = firsts.join(candidates, "node").select("first.k1", "first.k2", "root", "node")
     texts = docs.select(*doc_key(), "text").join(keys, ["k1", "k2"]).groupBy("k1", "k2")
     sets = stage(_sets(texts.agg(*[F.first(c).alias(c) for c in ("root", "node", "text")]), shingle))
     free_shuffles(spark)
-    roots = components(stage(verified(sets))).toDF("node", "root")
+    pairs = stage(verified(sets))
+    discard(sets)
+    roots = components(pairs).toDF("node", "root")
     winners = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    winners = winners.select("first.k1", "first.k2")
+    winners = stage(winners.select("first.k1", "first.k2"))
+    discard(firsts, pairs)
     free_shuffles(spark)
     whole = docs.select(*doc_key(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return whole.join(winners, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")

@@ -190,3 +190,70 @@ def test_keep_one_links_similar_texts_alone(spark, monkeypatch, block):
     found = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), near=20, both=44)  # wide, so that every similar pair is a candidate
     kept = {r.doc_id for r in found.collect()}
     assert kept == want
+
+
+def test_search_compares_many_equal_fingerprints(spark):
+    rng = random.Random(21)
+    fp, bases = rng.getrandbits(64), [rng.getrandbits(64) for _ in range(30)]
+    rows = [(fp, flipped(rng, rng.choice(bases), rng.randrange(4))) for _ in range(5_000)]
+    signed = np.array(rows, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(i, f, o) for i, (f, o) in enumerate(signed)], "node long, fp long, other long")
+    edges = simhash.search(df, 3, 8, hot=500, group=1_000).collect()
+    got = graph.local_roots(np.array([e.u for e in edges], int), np.array([e.v for e in edges], int), len(rows))
+    other = np.array([o for _, o in rows], np.uint64)
+    want = graph.local_roots(*np.nonzero(np.bitwise_count(other[:, None] ^ other) <= 8), len(rows))
+    assert len(edges) < 40 * len(rows) and got.tolist() == want.tolist()
+
+
+def test_hot_key_in_a_range_of_normal_size(spark):
+    rng = random.Random(22)
+    fps = sorted({rng.getrandbits(64) for _ in range(300)} | {flipped(rng, 5, rng.randrange(9)) for _ in range(600)})
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(i, x, 0) for i, x in enumerate(signed)], "node long, fp long, other long")
+    edges = simhash.search(df, 3, hot=20).collect()  # all ranges far below ``group``
+    got = graph.local_roots(np.array([e.u for e in edges], int), np.array([e.v for e in edges], int), len(fps))
+    f = np.array(fps, np.uint64)
+    assert got.tolist() == graph.local_roots(*np.nonzero(np.bitwise_count(f[:, None] ^ f) <= 3), len(fps)).tolist()
+
+
+def similar_pair(rng, low, high):
+    """Two texts whose similarity lies in a range, and the similarity."""
+    while True:
+        n = rng.randrange(60, 400)
+        words = [f"w{rng.randrange(5_000)}" for _ in range(n)]
+        other = list(words)
+        for i in rng.sample(range(n), max(1, int(n * rng.uniform(0.01, 0.07)))):
+            other[i] = f"z{rng.randrange(10**6)}"
+        a, b = " ".join(words), " ".join(other)
+        if low <= jaccard(a, b) < high:
+            return a, b
+
+
+@pytest.mark.parametrize(("low", "high", "least"), [(0.80, 0.83, 0.9), (0.83, 0.87, 0.94), (0.87, 1.0, 0.99)])
+def test_recall_of_the_candidates(low, high, least):
+    rng = random.Random(31)
+    pairs = [similar_pair(rng, low, high) for _ in range(1_500)]
+    n = simhash.FINGERPRINTS
+    a, b = (simhash.fingerprints([p[k].encode() for p in pairs], simhash.WIDE, count=n, distinct=True)[:, :n] for k in (0, 1))
+    far = np.bitwise_count(a ^ b)
+    both = far + np.roll(far, -1, axis=1)
+    assert ((far <= simhash.NEAR) & (both <= simhash.BOTH)).any(axis=1).mean() >= least
+
+
+def test_keep_one_recall_and_precision(spark):
+    rng = random.Random(32)
+    near = [similar_pair(rng, 0.80, 0.90) for _ in range(150)]
+    apart = [similar_pair(rng, 0.65, 0.79) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(t for p in near + apart for t in p)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(i not in kept for i in range(1, 300, 2)) >= 0.93 * 150
+    assert set(range(0, 300, 2)) <= kept and set(range(300, 600)) <= kept
+
+
+def test_a_long_text(spark):
+    rng = random.Random(33)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(1_500_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, "x" * 3_000_000)], "doc_id long, text string")
+    by = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert by[1].component_id == by[2].component_id == 1 and by[3].component_id == 3
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {1, 3}
