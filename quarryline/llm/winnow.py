@@ -9,20 +9,24 @@ by hash, then word by word. An item of fewer words than a window is one window
 of its own length; winnowing promises nothing so short, so such lengths are
 looked up at every position.
 
-The benchmark is the broadcast side. Its size is measured first: beyond
-``SLICE_BYTES`` it goes in slices, each in a further map over the documents that
-adds its hits to those found before. The documents are never shuffled.
+The benchmark is the broadcast side. Its size is measured first. Up to ``SLICE_BYTES``
+one map over the documents finds all, and nothing is shuffled. A larger one goes in
+slices, one at a time, so that neither the driver nor a worker ever holds more than one:
+each is a pass over the documents that writes what it hits, and the sum of these joins
+the documents in the end.
 
 Null and empty texts have no words and no hits; a null item id counts as ''.
 Repeated documents give repeated rows, repeated items count once. Without a
-benchmark nothing is hit. All further columns of the documents are kept.
+benchmark nothing is hit, without documents there are no rows. All further columns of the
+documents are kept, whatever their names, but for those named as a result. A very long
+text takes memory in proportion to its length.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import U64, WordHasher, chunks, mix, window_argmin, word_bounds
+from quarryline.llm.common import U64, WordHasher, chunks, discard, mix, stage, window_argmin, word_bounds
 
 WINDOW, GRAM = 10, 5
 #: Benchmark text that one broadcast index may hold.
@@ -171,11 +175,12 @@ def _scan(index: Index, texts: pa.Array) -> tuple[list[int], list[bytes], list[l
     return sizes, spans, items
 
 
-def _merge(a: bytes, b: bytes) -> bytes:
-    """The union of two lists of runs."""
-    if not a or not b:
-        return a or b
-    runs = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in (a, b)])
+def _merge(parts: list[bytes]) -> bytes:
+    """The union of lists of runs."""
+    parts = [x for x in parts if x]
+    if len(parts) < 2:
+        return parts[0] if parts else b""
+    runs = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in parts])
     out: list[list[int]] = []
     for s, e in runs[np.argsort(runs[:, 0], kind="stable")].tolist():
         if out and s <= out[-1][1]:
@@ -185,44 +190,76 @@ def _merge(a: bytes, b: bytes) -> bytes:
     return np.array(out, np.int32).tobytes()
 
 
-def slices(benchmark: DataFrame, limit: int = SLICE_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's (id, text) in parts whose text keeps to about ``limit`` bytes."""
+def slices(benchmark: DataFrame, limit: int = SLICE_BYTES) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """How many parts the benchmark has whose text keeps to about ``limit`` bytes, and their (id, text)."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t"))
     rows = rows.filter("t is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // limit) or 1
-    for k in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, r.t) for r in part.collect()]
+    parts = (rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n))
+    return n, ([(r.i, r.t) for r in part.collect()] for part in parts)
 
 
 STATE = {"n_words": T.LongType(), "hit_spans": T.BinaryType(), "hit_items": T.ArrayType(T.StringType())}
 
 
+def _fields(*names: str) -> list[T.StructField]:
+    return [T.StructField(x, STATE[x]) for x in names]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = SLICE_BYTES, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs``, by default all but those of the same names, with n_words,
     hit_spans (packed int32 pairs of word positions) and hit_items."""
     kept = [c for c in docs.columns if c.lower() not in STATE] if columns is None else columns
-    empty = [F.lit(0).cast("long").alias("n_words"), F.lit(b"").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items")]
-    out = docs.select(F.col("text").alias("_scanned"), *[F.col(f"`{c}`") for c in kept], *empty)
-    state = [T.StructField(k, v) for k, v in STATE.items()]
-    base = [T.StructField(f.name, f.dataType) for f in out.schema.fields[1 : -len(state)]]
-    scanned = [T.StructField("_scanned", T.StringType())]
-    parts = list(slices(benchmark, limit))
-    for n, items in enumerate(parts):
-        shared, last = docs.sparkSession.sparkContext.broadcast(Index(items, window, gram)), n == len(parts) - 1
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+    n, parts = slices(benchmark, limit)
+    if n > 1:
+        return _in_slices(docs, parts, kept, window, gram)
+    shared = docs.sparkSession.sparkContext.broadcast(Index(next(parts), window, gram))
+    rows = docs.select(F.col("text").alias("_scanned"), *[F.col(f"`{c}`") for c in kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, spans, found = _scan(shared.value, batch.column(0))
+            made = [*batch.columns[1:], pa.array(sizes, pa.int64()), pa.array(spans, pa.binary()), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(made, names=[*batch.schema.names[1:], *STATE])
+
+    base = [T.StructField(f.name, f.dataType) for f in rows.schema.fields[1:]]
+    return rows.mapInArrow(run, T.StructType(base + _fields(*STATE)))
+
+
+def _in_slices(docs: DataFrame, parts: Iterator[list[tuple[str, str]]], kept: list[str], window: int, gram: int) -> DataFrame:
+    """As ``contamination``, one slice of the benchmark after the other."""
+    by_text = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(SEED), "text").alias("k2")]  # what is hit depends on the text alone
+    texts = docs.filter("text is not null").select(*by_text, "text")
+    keys = [T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]
+    hits = []
+    for items in parts:
+        shared = docs.sparkSession.sparkContext.broadcast(Index(items, window, gram))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sizes, spans, found = _scan(shared.value, batch.column(0))
-                k = batch.num_columns - 3
-                spans = [_merge(a, b) for a, b in zip(batch.column(k + 1).to_pylist(), spans, strict=True)]
-                found = [sorted({*a, *b}) for a, b in zip(batch.column(k + 2).to_pylist(), found, strict=True)]
-                made = [*batch.columns[:k], pa.array(sizes, pa.int64()), pa.array(spans, pa.binary()), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(made[last:], names=batch.schema.names[last:])
-
-        out = out.mapInArrow(run, T.StructType(scanned * (not last) + base + state))
-    return out
+                _, spans, found = _scan(shared.value, batch.column(2))
+                made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.binary()), pa.array(found, pa.list_(pa.string()))], ["k1", "k2", "hit_spans", "hit_items"])
+                yield made.filter(pa.array([bool(x) for x in spans], pa.bool_()))
+
+        hits.append(stage(texts.mapInArrow(run, T.StructType(keys + _fields("hit_spans", "hit_items")))))
+        shared.destroy()  # what it found is written
+    found = reduce(DataFrame.union, hits).groupBy("k1", "k2")
+    found = stage(found.agg(F.collect_set("hit_spans").alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items")))
+    discard(*hits)
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row")
+    rows = docs.select(*by_text, F.col("text").alias("_scanned"), row).join(found, ["k1", "k2"], "left").select("_scanned", "hit_spans", "hit_items", "row")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [n for *_, data, offsets in chunks(batch.column(0)) for n in np.diff(words_of(data, offsets)[1]).tolist()]
+            spans = [_merge(x or []) for x in batch.column(1).to_pylist()]
+            items = [x or [] for x in batch.column(2).to_pylist()]
+            made = [batch.column(3), pa.array(sizes, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(made, names=["row", *STATE])
+
+    made = rows.mapInArrow(finish, T.StructType([T.StructField("row", rows.schema["row"].dataType), *_fields(*STATE)]))
+    return made.select(*[F.col(f"row.`{c}`") for c in kept], *STATE)
 
 
 def contamination_digests(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

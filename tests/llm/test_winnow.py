@@ -57,15 +57,29 @@ def test_against_brute_force(spark):
     check(spark, docs, [x for x in items if len(words(x[1])) >= 10])
 
 
-def test_slices_and_empty_sides(spark):
+def test_slices_and_empty_sides(spark, monkeypatch):
     docs, items = corpus(3)
+    made = []
+    init = winnow.Index.__init__
+    monkeypatch.setattr(winnow.Index, "__init__", lambda self, some, *options: made.append(sum(len((t or "").encode()) for _, t in some)) or init(self, some, *options))
     check(spark, docs, items, limit=60)
+    assert len(made) > 5 and max(made) < sum(made)  # several slices, none with all
     check(spark, docs, [])
-    check(spark, [], items)
+    check(spark, docs, [], limit=1)
+    check(spark, [], items, limit=60)
 
 
 def test_decontaminate_keeps_columns(spark):
     item = "one two three four five six seven eight nine ten eleven"
-    docs = spark.createDataFrame([(1, "x " + item + " y", "a"), (2, "clean words", "b"), (3, None, "c")], "doc_id long, text string, hit_items string")
-    kept = winnow.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
-    assert kept.columns[:2] == ["doc_id", "text"] and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    docs = spark.createDataFrame([(1, "x " + item + " y", "a", 5), (2, "clean words", "b", 6), (3, None, "c", None)], "doc_id long, text string, hit_items string, n_words int")
+    benchmark = spark.createDataFrame([(1, item), (2, item + " twelve thirteen")], "item_id long, text string")
+    for limit in (winnow.SLICE_BYTES, 30):
+        kept = winnow.decontaminate(docs, benchmark, limit=limit)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(2, "clean words", "b", 6), (3, None, "c", None)]
+
+
+def test_a_long_text(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, "filler words here " * 1_100_000 + item), (2, "x" * 4_000_000)], "doc_id long, text string")
+    found = {r.doc_id: r for r in winnow.contamination_digests(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert (found[1].n_words, found[1].n_hit, found[1].n_items) == (3_300_011, 11, 1) and not found[2].contaminated
