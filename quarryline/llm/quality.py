@@ -1,16 +1,19 @@
 """Quality classifier: a regularised quadratic discriminant over document statistics.
 
 Each text gives a fixed vector of statistics of all its bytes and words, transformed
-so that shares and lengths lie on unbounded, even scales. Training sums counts,
-means and products per class over all labelled rows, distributed; the driver gets
+so that shares and lengths lie on unbounded, even scales. The model is fitted on the
+documents of about ``TRAIN_ROWS`` labels, chosen by a hash, which are broadcast: counts,
+means and products per class are summed where the documents are, and the driver gets
 these sums alone. Each class has a covariance shrunk towards the pooled variances,
 kept as a Cholesky factor. A score is the logistic of the difference of the two log
-densities, by Mahalanobis distances, and of the log prior.
+densities, by Mahalanobis distances, and of the log prior. Scoring is one pass.
 
 Null counts as empty; empty texts have statistics and a score like any other. Label
 rows without a value or a document are passed over; repeated rows count again. With
-no labels of one class the score is the smoothed share of label 1 for every text.
-Further columns are kept by ``keep_good`` and passed over by ``quality_scores``.
+no labels of one class the score is the smoothed share of label 1 for every text, and
+an empty table of documents gives no rows. Further columns, whatever their names, are
+kept by ``keep_good`` and passed over by ``quality_scores``. Very long texts are measured
+in parts that end at white space; what stays of a part is a hash for each word.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import WordHasher, chunks, stage, word_bounds
+from quarryline.llm.common import CHUNK, WordHasher, chunks, word_bounds
 from quarryline.llm.langid import held_out
 
+#: Labelled documents that the model is fitted on, about.
+TRAIN_ROWS = 50_000
 #: Weight of the pooled variances in a class covariance, and the score from which a text is good.
 SHRINK, GOOD = 0.1, 0.3
 SEED = 41
@@ -57,28 +62,55 @@ def _logit(share: np.ndarray, soft: float = 0.005) -> np.ndarray:
     return np.log((share + soft) / (1 - share + soft))
 
 
-def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row per text, columns as ``FEATURES``."""
+def _measure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per text the bytes of each value, words, and sums over the words: length, its square,
+    equal to the last one, odd end, no letter, short. Then each word's hash, and its text."""
     n = len(offsets) - 1
-    size = np.diff(offsets)
-    least = np.maximum(size, 1)
-    text = np.repeat(np.arange(n), size)
+    text = np.repeat(np.arange(n), np.diff(offsets))
     histogram = np.bincount(text * 256 + data, minlength=256 * n).reshape(n, 256).astype(float)
-    p = histogram / least[:, None]
-    entropy = -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1)
     starts, ends, first = word_bounds(~_SPACE[data], offsets)
     words = np.diff(first)
-    some = np.maximum(words, 1)
     of = np.repeat(np.arange(n), words)
     length = (ends - starts).astype(float)
-
-    def per_text(values: np.ndarray) -> np.ndarray:
-        return np.bincount(of, values, n)
-
-    mean = per_text(length) / some
-    sd = np.sqrt(np.maximum(per_text(length**2) / some - mean**2, 0))
     letters = np.concatenate(([0], np.cumsum(_LETTER[data])))
     h = _hasher()(data, starts, ends)
+    again = np.concatenate(([False], (h[1:] == h[:-1]) & (of[1:] == of[:-1]))) if len(h) else np.zeros(0, bool)
+    last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
+    odd = ~(_LETTER | _DIGIT | _SETS["stop"])[last]
+    kinds = (length, length**2, again, odd, letters[ends] == letters[starts], length <= 3)
+    return histogram, words, np.column_stack([np.bincount(of, x.astype(float), n) for x in kinds]), h, of
+
+
+def _measure_long(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As ``_measure`` for one text, in parts."""
+    held, sums, at = [], None, 0
+    while at < len(data):
+        end = at + CHUNK
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        histogram, words, found, h, _ = _measure(data[at:end], np.array([0, len(data[at:end])]))
+        if held and len(h) and len(held[-1]) and held[-1][-1] == h[0]:
+            found[0, 2] += 1
+        if len(h):
+            held.append(h)
+        sums = (histogram, words, found) if sums is None else tuple(a + b for a, b in zip(sums, (histogram, words, found), strict=True))
+        at = end
+    h = np.concatenate(held) if held else np.zeros(0, np.uint64)
+    return *sums, h, np.zeros(len(h), np.int64)
+
+
+def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One row per text, columns as ``FEATURES``."""
+    n = len(offsets) - 1
+    size = np.diff(offsets)
+    least = np.maximum(size, 1)
+    histogram, words, sums, h, of = _measure_long(data) if n == 1 and len(data) > 2 * CHUNK else _measure(data, offsets)
+    p = histogram / least[:, None]
+    entropy = -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1)
+    some = np.maximum(words, 1)
+    length, square, again, odd, plain, short = sums.T
+    mean = length / some
+    sd = np.sqrt(np.maximum(square / some - mean**2, 0))
     order = np.lexsort((h, of))
     a, b = of[order], h[order]
     fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
@@ -86,15 +118,12 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     runs = np.diff(np.concatenate((np.flatnonzero(fresh), [len(a)])))
     top = np.zeros(n)
     np.maximum.at(top, a[fresh], runs)
-    again = np.concatenate(([False], (h[1:] == h[:-1]) & (of[1:] == of[:-1]))) if len(h) else np.zeros(0, bool)
-    last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
-    odd = ~(_LETTER | _DIGIT | _SETS["stop"])[last]
     cased = histogram[:, _UPPER | _LOWER].sum(axis=1)
     columns = [
         np.log1p(size), np.log1p(words), np.log1p(mean), np.log1p(sd), _logit(histogram[:, _UPPER].sum(axis=1) / np.maximum(cased, 1)),
         *[_logit(histogram[:, s].sum(axis=1) / least) for s in _SETS.values()],
-        np.log1p(distinct) / np.log(some + 1.0), _logit(per_text(again.astype(float)) / some), _logit(top / some), _logit(per_text(odd.astype(float)) / some),
-        _logit(per_text((letters[ends] == letters[starts]).astype(float)) / some), _logit(per_text((length <= 3).astype(float)) / some), entropy,
+        np.log1p(distinct) / np.log(some + 1.0), _logit(again / some), _logit(top / some), _logit(odd / some),
+        _logit(plain / some), _logit(short / some), entropy,
     ]
     return np.column_stack(columns)
 
@@ -126,33 +155,25 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the statistics of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = features(batch.column(1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "x"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, x array<double>")
-
-
-def train(vectors: DataFrame, labels: DataFrame, usable: Column, label: str = "quality") -> Discriminant:
-    """The model from (doc_id, x) and (doc_id, label) where ``usable`` holds of the id."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality") -> Discriminant:
+    """The model from (doc_id, text) and (doc_id, label) where ``usable`` holds of the id."""
     d = len(FEATURES)
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & usable)
-    both = vectors.join(rows, "doc_id").select("y", "x")
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & usable).groupBy("doc_id", "y").agg(F.count(F.lit(1)).alias("w"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20))
+    total = rows.count()
+    if total > TRAIN_ROWS:
+        rows = rows.filter(part < max(1, (TRAIN_ROWS << 20) // total))
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").select("y", "w", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, 1 + d + d * d))
         for batch in batches:
-            y = np.asarray(batch.column(0))
-            x = np.asarray(batch.column(1).flatten()).reshape(-1, d)
+            y, w = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(float)
+            x = features(batch.column(2))
             for c in (0, 1):
-                own = x[y == c]
-                held[c] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
+                own, weight = x[y == c], w[y == c]
+                held[c] += np.concatenate(([weight.sum()], weight @ own, ((own.T * weight) @ own).ravel()))
         c, k = np.nonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(held[c, k])], ["c", "k", "v"])
 
@@ -165,23 +186,20 @@ def train(vectors: DataFrame, labels: DataFrame, usable: Column, label: str = "q
 
 def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """(doc_id, held_out, score, predicted); learned from the rows that are not held out."""
-    vectors = stage(with_features(docs))
     out = held_out(modulus, remainder)
-    shared = docs.sparkSession.sparkContext.broadcast(train(vectors, labels, ~out))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, ~out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten()).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(features(batch.column(1))))], ["doc_id", "score"])
 
-    scored = vectors.mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """The documents whose score is ``GOOD`` or more, columns unchanged."""
-    vectors = stage(with_features(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(train(vectors, labels, ~held_out(modulus, remainder)))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, ~held_out(modulus, remainder)))
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:

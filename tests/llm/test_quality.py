@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -72,3 +75,66 @@ def test_statistics_per_text_do_not_depend_on_neighbours():
     together = quality.features(pa.array(texts))
     alone = np.concatenate([quality.features(pa.array([t])) for t in texts])
     assert np.allclose(together, alone) and np.isfinite(together).all() and together.shape[1] == len(quality.FEATURES)
+
+
+def plain_features(text):
+    """The statistics by plain loops."""
+    data = text.encode()
+    words = re.findall(rb"[^ \t\n\x0b\x0c\r]+", data)
+    n, size = max(1, len(words)), max(1, len(data))
+    logit = lambda p: math.log((p + 0.005) / (1 - p + 0.005))
+    of = lambda chars: sum(b in chars for b in data) / size
+    upper, lower, digit = set(range(65, 91)), set(range(97, 123)), set(range(48, 58))
+    letter = upper | lower | set(range(128, 256))
+    mean = sum(map(len, words)) / n
+    sd = math.sqrt(max(0, sum(len(w) ** 2 for w in words) / n - mean**2))
+    sets = [digit, set(range(128, 256)), set(b".,;:?"), set(b"!"), set(b"|"), set(b"#$%&*+/<=>@[]\\^_`{}~"), set(b"\"'()-"), set(b"\n")]
+    counts = Counter(words)
+    shares = [
+        sum(a == b for a, b in zip(words, words[1:], strict=False)), max(counts.values(), default=0), sum(w[-1] not in letter | digit | set(b".,;:?") for w in words),
+        sum(not letter & set(w) for w in words), sum(len(w) <= 3 for w in words),
+    ]
+    entropy = -sum(c / size * math.log2(c / size) for c in Counter(data).values())
+    cased = sum(b in upper | lower for b in data)
+    first = [math.log1p(len(data)), math.log1p(len(words)), math.log1p(mean), math.log1p(sd), logit(sum(b in upper for b in data) / max(1, cased))]
+    return [*first, *[logit(of(x)) for x in sets], math.log1p(len(counts)) / math.log(n + 1), *[logit(x / n) for x in shares], entropy]
+
+
+def test_features_match_plain_loops(monkeypatch):
+    texts = ["", "one", "Der Der Der!", "é | é\n5 5", " \n", "x" * 300, *[t for _, t, _ in make(60, 4)], "a a " * 90 + "B-1 #x"]
+    want = [plain_features(t) for t in texts]
+    assert np.allclose(quality.features(pa.array(texts)), want)
+    monkeypatch.setattr(quality, "CHUNK", 16)  # every text in parts
+    assert np.allclose(np.concatenate([quality.features(pa.array([t])) for t in texts]), want)
+
+
+def test_scores_match_brute_force(spark):
+    rows = make(250, 9)
+    docs, labels = frames(spark, rows)
+    labels = labels.union(labels.filter("doc_id < 40"))  # repeated labels count again
+    x = np.array([plain_features(t) for _, t, _ in rows])
+    weight = np.array([(2 if i < 40 else 1) * (zlib.crc32(str(i).encode()) % 5 != 0) for i, _, _ in rows])
+    y = np.array([c for *_, c in rows])
+    fit = []
+    pooled = 0
+    for c in (0, 1):
+        w = weight * (y == c)
+        mean = w @ x / w.sum()
+        cov = ((x - mean).T * w) @ (x - mean) / w.sum()
+        pooled = pooled + w.sum() / weight.sum() * np.diag(np.diag(cov))
+        fit.append((mean, cov))
+    z = np.log((weight @ y + 1) / (weight @ (1 - y) + 1))
+    for sign, (mean, cov) in zip((-1, 1), fit, strict=True):
+        c = 0.9 * cov + 0.1 * np.maximum(pooled, 1e-6 * np.eye(len(pooled)))
+        d = x - mean
+        z = z + sign * (-0.5 * (d * np.linalg.solve(c, d.T).T).sum(axis=1) - 0.5 * np.linalg.slogdet(c)[1])
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    assert np.allclose([got[i] for i, _, _ in rows], 1 / (1 + np.exp(-np.clip(z, -500, 500))), atol=1e-6)
+
+
+def test_bounded_sample_and_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 300)
+    rows = make(1200, 5)
+    docs, labels = frames(spark, rows, [(7000, "the thing is in. " * 1_300_000), (7001, "x" * 5_000_000)])
+    found = {r.doc_id: r for r in quality.quality_scores(docs, labels).collect()}
+    assert np.mean([found[i].predicted == y for i, _, y in rows]) > 0.95 and len(found) == 1202
