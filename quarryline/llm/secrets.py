@@ -4,19 +4,21 @@ Base kinds, leftmost and non-overlapping each: ``assign`` (a key word, a colon o
 equals sign, and a value of 12 or more characters), ``access`` (key ids of 18 or
 more characters) and ``hex`` (16 or more hexadecimal digits). They always stay.
 
-Kind ``markov`` adds runs of ``MIN_RUN`` or more base64 characters that no base
-span touches. Two first-order models give each run's log-likelihood: one trained
+Kind ``markov`` adds runs of ``MIN_RUN`` or more base64 characters, whether base spans
+touch them or not; what lies inside base spans already is not reported again. Two
+first-order models give each run's log-likelihood: one trained
 on random strings drawn over the usual alphabets by a fixed seed, one on ordinary
-identifiers: the words of a bounded sample of the documents, alone and joined in
-the usual styles. A run is a secret if its ratio, or that of a part of ``MIN_RUN`` or
+identifiers: the words of a bounded sample of the documents, a part of
+``TRAIN_CHARS`` characters of each, alone and joined in the usual styles. A run is a secret if its ratio, or that of a part of ``MIN_RUN`` or
 more characters between separators (``/ + _ - =``), is at least ``THRESHOLD`` in all
 and ``PER_CHAR`` for each character. The span is the whole run, or else those parts.
 
 Offsets are code points, the end exclusive; spans are in the order of their start,
 then of their kind as listed. Null and empty texts have none. Rows are independent
-of each other; repeated rows give equal rows. Without any words to train on, the
-random model is compared with a uniform one. Further columns are kept by
-``redact`` and passed over by ``secret_digests``.
+of each other; repeated rows give equal rows, an empty table gives none. Without any words
+to train on, the random model is compared with a uniform one. Further columns, whatever
+their names, are kept by ``redact`` and passed over by ``secret_digests``. A very long text
+takes memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,8 +130,10 @@ _WORD = re.compile(r"[A-Za-z]{2,}")
 
 def train(docs: DataFrame) -> Models:
     """The models; the words are those of at most ``TRAIN_DOCS`` documents, chosen by a hash,
-    of at most ``TRAIN_CHARS`` characters each."""
-    some = docs.select("text", F.xxhash64("text").alias("h")).filter(F.length("text").between(1, TRAIN_CHARS))
+    and of a part of at most ``TRAIN_CHARS`` characters of each, placed by it."""
+    h = F.xxhash64("text")
+    start = F.pmod(h, F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS + 1)).cast("int")
+    some = docs.filter(F.length("text") > 0).select(F.substring(F.col("text"), start + 1, F.lit(TRAIN_CHARS)).alias("text"), h.alias("h"))
     least = [r.h for r in some.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).collect()]
     # Hashes alone are ordered; only the texts chosen reach the driver.
     chosen = some.filter(F.col("h") <= max(least, default=-(1 << 63))).dropDuplicates(["h"]).orderBy("h")
@@ -137,6 +142,19 @@ def train(docs: DataFrame) -> Models:
     return Models(words[:TRAIN_WORDS])
 
 
+def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of the spans."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def spans_of(text: bytes, models: Models | None, marked: bool = True, runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes, ascending. ``marked``: a colon or equals sign is there;
     ``runs``: the text's runs of ``MIN_HEX`` or more of the alphabet, looked for if not given."""
@@ -152,10 +170,11 @@ def spans_of(text: bytes, models: Models | None, marked: bool = True, runs: list
         for a, b in runs:
             out += [(m.start(), 2, m.end()) for m in HEX.finditer(text, a, b) if m.end() - m.start() >= MIN_HEX]
     if models is not None:
-        base = [(a, b) for a, _, b in out]
+        starts, ends = _joined([(a, b) for a, _, b in out])
         for a, b in runs:
-            if b - a >= MIN_RUN and not any(x < b and a < y for x, y in base):
-                out += [(a + x, 3, a + y) for x, y in models.secrets_in(text[a:b])]
+            if b - a >= MIN_RUN:
+                found = [(a + x, a + y) for x, y in models.secrets_in(text[a:b])]
+                out += [(x, 3, y) for x, y in found if not ((k := bisect_right(starts, x)) and ends[k - 1] >= y)]
     return sorted(out)
 
 

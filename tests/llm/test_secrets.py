@@ -72,3 +72,48 @@ def test_redact_and_empty(spark, models):
     assert kept == {1: "é my [secret] end", 2: None, 3: "plain words"}
     assert secrets.secret_digests(docs.limit(0)).count() == 0
     assert secrets.secret_digests(docs).count() == 3
+
+
+def plain_ratio(models, run):
+    """The log-likelihood ratio character by character."""
+    total, last = 0.0, len(secrets.ALPHABET)
+    for c in run:
+        k = secrets.ALPHABET.index(c)
+        total += models.secret.log[last, k] - models.plain.log[last, k]
+        last = k
+    return total
+
+
+def all_spans(models, text):
+    """Base and markov spans by plain loops."""
+    base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    covered = set()
+    for a, _, b in base:
+        covered |= set(range(a, b))
+    out = list(base)
+    sure = lambda s: len(s) >= 20 and plain_ratio(models, s) >= max(12.0, 0.5 * len(s))
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        found = [m.span()] if sure(m[0]) else [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer("[A-Za-z0-9]+", m[0]) if sure(p[0])]
+        out += [(a, 3, b) for a, b in found if not set(range(a, b)) <= covered]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_all_spans_match_brute_force(spark, models):
+    rng = random.Random(12)
+    alphabet = secrets.ALPHABET[:62]
+    key = lambda n: "".join(rng.choices(alphabet, k=n))
+    rows = []
+    for _ in range(250):
+        parts = [rng.choice([key(24), key(60), key(12), "abcdef0123456789" + key(30), "theing/station/ment", "secret=" + key(20), "éé", "AKIA" + key(8).upper() + key(22), "0" * 16, "thing"]) for _ in range(6)]
+        rows.append(rng.choice([" ", "", "/", ": "]).join(parts))
+    found = secrets.secret_digests(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), models).collect()
+    assert {r.doc_id: r.spans for r in found} == {i: all_spans(models, t) for i, t in enumerate(rows)}
+    assert sum("markov" in r.spans and "hex" in r.spans for r in found) > 10
+
+
+def test_a_long_text(spark):
+    docs = spark.createDataFrame([(1, "the thing is in a station " * 700_000 + " xK9fQ2mZ7LpW4vTn8RbY3sHd"), (2, "x" * 3_000_000)], "doc_id long, text string")
+    by = {r.doc_id: r.spans for r in secrets.secret_digests(docs).collect()}
+    assert by[1] == "markov:18200001:18200025"
