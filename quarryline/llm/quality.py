@@ -30,7 +30,7 @@ from quarryline.llm.common import CHUNK, WordHasher, chunks, word_bounds
 from quarryline.llm.langid import held_out
 
 #: Labelled documents that the model is fitted on, about.
-TRAIN_ROWS = 50_000
+TRAIN_ROWS = 20_000
 #: Weight of the pooled variances in a class covariance, and the score from which a text is good.
 SHRINK, GOOD = 0.1, 0.3
 SEED = 41
