@@ -44,7 +44,7 @@ LEAF_BITS = 8
 LEAF = (1 << LEAF_BITS) - 1
 #: Pieces whose ids a worker keeps, in two generations of half as many, and pairs whose ranks
 #: it keeps; only speed depends on them. A piece takes about 200 bytes.
-CACHED_PIECES, CACHED_PAIRS = 1_000_000, 400_000
+CACHED_PIECES, CACHED_PAIRS = 400_000, 400_000
 #: Characters of text that are split at a time, and looked up at a time.
 SPLIT_CHARS, LOOK_UP = 1 << 19, 1 << 20
 #: Bytes of a piece that shares a queue at most, and of the pieces that share one.

@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.joins import lookup_join
-from quarryline.llm.common import U64, discard, doc_key, free_shuffles, mix, stage
+from quarryline.llm.common import U64, discard, doc_key, free_shuffles, mix, small_batches, stage
 from quarryline.llm.graph import components, local_roots, spanning_stars
 from quarryline.llm.xxh import xxh64
 
@@ -62,7 +62,7 @@ SAMPLE = 20_000
 #: ``keep_one``: words of a shingle, fingerprints, bits of a search and of two fingerprints together.
 WIDE, FINGERPRINTS, NEAR, BOTH = 5, 5, 8, 24
 #: The similarity that links, as a fraction; shingles of a block of sets that one task compares.
-SIMILAR, SET_BLOCK = (4, 5), 1 << 19
+SIMILAR, SET_BLOCK = (4, 5), 1 << 18
 #: Cost of a row sent, in pairs compared: about a microsecond against five nanoseconds.
 ROW_COST = 200.0
 #: Rows of one key above which it is dealt again, and rows that one group of keys is meant to hold.
@@ -600,8 +600,8 @@ def verified(sets: DataFrame) -> DataFrame:
     return edges.union(ones.union(others).groupBy("root", "f", "b").applyInArrow(_compare_blocks, "u long, v long"))
 
 
-def keep_one(docs: DataFrame, near: int = NEAR, both: int = BOTH, shingle: int = WIDE, count: int = FINGERPRINTS) -> DataFrame:
-    """``docs`` with one document of each group of similar texts: the smallest id, nulls last."""
+def _winners(docs: DataFrame, near: int, both: int, shingle: int, count: int) -> DataFrame:
+    """(k1, k2) of the documents that stay, staged."""
     spark = docs.sparkSession
     names = [f"fp{k}" for k in range(count)]
     rows = stage(with_fingerprints(docs.select(*doc_key(), "doc_id", "text"), shingle, count, ("k1", "k2", "doc_id"), distinct=True))
@@ -628,5 +628,12 @@ def keep_one(docs: DataFrame, near: int = NEAR, both: int = BOTH, shingle: int =
     winners = stage(winners.select("first.k1", "first.k2"))
     discard(firsts, pairs)
     free_shuffles(spark)
+    return winners
+
+
+def keep_one(docs: DataFrame, near: int = NEAR, both: int = BOTH, shingle: int = WIDE, count: int = FINGERPRINTS) -> DataFrame:
+    """``docs`` with one document of each group of similar texts: the smallest id, nulls last."""
+    with small_batches(docs.sparkSession):
+        winners = _winners(docs, near, both, shingle, count)
     whole = docs.select(*doc_key(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return whole.join(winners, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")
