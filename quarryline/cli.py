@@ -7,25 +7,31 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.operators import grouping, preprocess, split, stats, triplets
+from quarryline.operators import preprocess, split, stats, triplets
 from quarryline.sources import staging, tables
 
 
 def run_preprocess(spark: SparkSession, source: str, target: str, counter=None, mode: str = "errorifexists") -> dict[str, DataFrame]:
     """JSONL to processed parquet; returns the filter summary, statistics and CDF points."""
     raw = tables.read_jsonl(spark, source)
-    tables.write_processed(tables.with_row_index(preprocess.preprocess(raw, counter)), target, mode)
+    kept = staging.materialize(preprocess.preprocess(raw, counter))  # the tokenizer runs once, and the numbers stand on what is written
+    tables.write_processed(tables.with_row_index(kept), target, mode)
+    staging.discard(kept)
     done = spark.read.parquet(target)
     return {"summary": preprocess.filter_summary(raw), "stats": stats.token_stats(done), "cdf": stats.token_cdf(done)}
 
 
-def run_split(spark: SparkSession, source: str, target: str, ratio: float = 0.9, seed: int = 42, mode: str = "errorifexists") -> DataFrame:
-    """Processed functions to pools and positive maps, both partitioned by split; returns the summary."""
+def run_split(spark: SparkSession, source: str, target: str, ratio: float = 0.9, seed: int = 42, mode: str = "errorifexists", lists: bool = True) -> DataFrame:
+    """Processed functions to pools, index and positive maps, partitioned by split; returns the summary.
+
+    The maps are quadratic in a group's size; without ``lists`` the index, which has each
+    group's start and size, stands for them.
+    """
     functions = spark.read.parquet(source)
     index = staging.materialize(split.split_dataset(functions, split.check_ratio(ratio), seed))
-    keyed = grouping.normalize_file_name(functions)
     tables.write_pools(split.pools(functions, index), f"{target}/pool", mode)
-    tables.write_pools(split.translate_map(index, grouping.positive_map(keyed)), f"{target}/positive_map", mode)
+    if lists:
+        tables.write_pools(split.translate_map(index), f"{target}/positive_map", mode)
     tables.write_pools(index, f"{target}/index", mode)
     return split.split_summary(index)
 
@@ -49,6 +55,7 @@ def main(argv: list[str] | None = None) -> None:
             command.add_argument("--seed", type=int, default=42)
         if name == "split":
             command.add_argument("--ratio", type=float, default=0.9)
+            command.add_argument("--no-lists", action="store_true", help="write no positive maps; the index has each group's start and size")
         if name == "triplets":
             command.add_argument("--epoch", type=int, default=0)
     given = parser.parse_args(argv)
@@ -59,7 +66,7 @@ def main(argv: list[str] | None = None) -> None:
             if name != "cdf":
                 df.show()
     elif given.command == "split":
-        run_split(spark, given.source, given.target, given.ratio, given.seed, mode).show()
+        run_split(spark, given.source, given.target, given.ratio, given.seed, mode, not given.no_lists).show()
     else:
         run_triplets(spark, given.source, given.target, given.seed, given.epoch, mode)
 

@@ -84,13 +84,16 @@ def reindex(members: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.select("split", new_idx.alias("new_idx"), "original_idx", "group_id", "group_start", "size")
 
 
-def translate_map(index: DataFrame, positives: DataFrame) -> DataFrame:
-    """(split, anchor, positives) in new numbers; anchors left without positives go."""
-    links = positives.select("original_idx", F.explode("positives").alias("other"))
-    a = index.select("original_idx", "split", F.col("new_idx").alias("anchor"))
-    b = index.select(F.col("original_idx").alias("other"), F.col("split"), F.col("new_idx").alias("positive"))
-    both = links.join(a, "original_idx").join(b, ["other", "split"])
-    return both.groupBy("split", "anchor").agg(F.array_sort(F.collect_list("positive")).alias("positives"))
+def translate_map(index: DataFrame) -> DataFrame:
+    """(split, anchor, positives) in new numbers; anchors left without positives go.
+
+    A group is a range of new numbers within one split, so its members follow without a
+    join. The lists are quadratic in a group's size by definition; (group_start, size)
+    in the index says the same in two numbers.
+    """
+    members = F.sequence(F.col("group_start"), F.col("group_start") + F.col("size") - 1)
+    rows = index.filter("size > 1").select("split", F.col("new_idx").alias("anchor"), members.alias("members"))
+    return rows.select("split", "anchor", F.array_remove("members", F.col("anchor")).alias("positives"))
 
 
 def split_summary(index: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Points that one array spreads out: a length held by very many rows goes in several.
+STRETCH = 1 << 16
 PERCENTILES = {"median": 0.5, "p95": 0.95, "p99": 0.99, "p99_5": 0.995}
 
 
@@ -35,9 +37,9 @@ def token_cdf(df: DataFrame, column: str = "token_len", digits: int = 9) -> Data
     before = F.sum("c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
     n = F.sum("c").over(Window.partitionBy())
     placed = by.select(column, "c", F.coalesce(before, F.lit(0)).alias("start"), n.alias("n"))
-    at = placed.select(
-        column, "n", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("c") - 1)).alias("i")
-    )
+    end = F.col("start") + F.col("c")
+    parts = placed.select(column, "n", end.alias("end"), F.explode(F.sequence(F.col("start"), end - 1, F.lit(STRETCH).cast("long"))).alias("a"))
+    at = parts.select(column, "n", F.explode(F.sequence(F.col("a"), F.least(F.col("a") + STRETCH, F.col("end")) - 1)).alias("i"))
     return at.select(column, F.round(F.col("i") / F.nullif(F.col("n") - 1, F.lit(0)), digits).alias("y"))
 
 

@@ -177,7 +177,7 @@ def reindex(spark, d):
 
 @query("translate_map", f"with {TMAP} select split, anchor, array_to_string(positives, ',') as positives from tmap")
 def translate_map(spark, d):
-    made = split.translate_map(_index(spark, d), grouping.positive_map(_keyed(spark, d)))
+    made = split.translate_map(_index(spark, d))
     return made.select("split", "anchor", _joined("positives"))
 
 
@@ -229,6 +229,11 @@ def instruction_prefix(spark, d):
 _IDS = "list_transform(string_split(text, ' '), lambda w: length(w))"
 
 
+_PAD = f"list_transform(range({collate.MAX_LENGTH} - len(ids)), lambda x: 0)"
+_FITTED = f"""with cut as (select doc_id, list_slice({_IDS}, 1, {collate.MAX_LENGTH}) as ids from documents),
+fitted as (select doc_id, list_concat({_PAD}, ids) as input_ids, list_concat({_PAD}, list_transform(ids, lambda x: 1)) as attention_mask from cut)"""
+
+
 def _ids(spark, d):
     """Word lengths stand in for token ids."""
     docs = read_table(spark, d, "documents").select("doc_id", "text")
@@ -237,17 +242,16 @@ def _ids(spark, d):
 
 @query(
     "truncate_pad",
-    f"""with w as (select doc_id, list_slice({_IDS}, 1, 64) as ids from documents)
-    select doc_id, array_to_string(list_concat(list_transform(range(64 - len(ids)), lambda x: 0), ids), ',') as input_ids,
-    array_to_string(list_concat(list_transform(range(64 - len(ids)), lambda x: 0), list_transform(ids, lambda x: 1)), ',') as attention_mask from w""",
+    f"""{_FITTED} select doc_id, md5(array_to_string(input_ids, ',')) as input_ids, md5(array_to_string(attention_mask, ',')) as attention_mask from fitted""",
 )
 def truncate_pad(spark, d):
-    return collate.truncate_pad(_ids(spark, d), length=64).select("doc_id", _joined("input_ids"), _joined("attention_mask"))
+    made = collate.truncate_pad(_ids(spark, d))
+    return made.select("doc_id", *[F.md5(_joined(x)).alias(x) for x in ("input_ids", "attention_mask")])
 
 
-@query("length_check", "select 0::bigint as wrong")
+@query("length_check", f"{_FITTED} select count(*) filter (len(input_ids) <> {collate.MAX_LENGTH})::bigint as wrong from fitted")
 def length_check(spark, d):
-    return collate.wrong_lengths(collate.truncate_pad(_ids(spark, d), length=64), 64)
+    return collate.wrong_lengths(collate.truncate_pad(_ids(spark, d)))
 
 
 def _hidden(spark, d):
