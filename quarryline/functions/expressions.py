@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -33,6 +34,22 @@ def proxy_token_len(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(-1)).otherwise(n).cast("long")
 
 
+_HANDLES: dict[str, Callable] = {}
+
+
+class PerWorker:
+    """A callable that ``factory`` makes once in each Python worker, for tokenizers that are
+    costly to load or can't be pickled; it may stand for any callable that the UDFs here take."""
+
+    def __init__(self, factory: Callable[[], Callable]):
+        self.key, self.factory = uuid.uuid4().hex, factory
+
+    def __call__(self, *args):
+        if self.key not in _HANDLES:
+            _HANDLES[self.key] = self.factory()
+        return _HANDLES[self.key](*args)
+
+
 def tokenizer_len(count: Callable[[str], int]):
     """An Arrow UDF that applies ``count`` to each text; -1 for null or empty text."""
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarryline.operators import collate, grouping, loss, preprocess, split, stats, triplets
 from quarryline.plans.fixtures import FUNCTIONS_SQL, functions_view, raw_view
-from quarryline.sources.staging import materialize
-from quarryline.sources.tables import read_table
+from quarryline.sources.staging import delete, materialize, shared_folder
+from quarryline.sources.tables import read_jsonl, read_table, with_row_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,6 +63,11 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return preprocess.with_token_len(preprocess.short_function_filter(functions_view(spark, d))).select("original_idx", "token_len")
 
 
+def _triplets(spark: SparkSession, d: str) -> DataFrame:
+    index = materialize(_index(spark, d))
+    return triplets.triplet_texts(triplets.triplet_sample(index), split.pools(functions_view(spark, d), index))
+
+
 def _joined(name: str):
     """An array as text, so that its order takes part in the comparison."""
     return F.array_join(name, ",").alias(name)
@@ -86,6 +93,29 @@ def metadata_extract(spark, d):
     return preprocess.metadata_extract(raw_view(spark, d)).select("original_idx", "file_name", "function_name")
 
 
+@query(
+    "jsonl_to_processed",
+    f"""with {TOKENS} select original_idx, md5(text) as text_md5, token_len, case when original_idx % 13 = 0 then '' else file_name end as file_name,
+    case when original_idx % 13 = 0 then '' else function_name end as function_name from kept join tokens using (original_idx) where token_len <> -1""",
+)
+def jsonl_to_processed(spark, d):
+    """The raw records as JSON lines, scanned under the declared schema and processed."""
+    path = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    raw_view(spark, d).write.json(path)
+    scan = read_jsonl(spark, path, T.StructType([T.StructField("original_idx", T.LongType())]))
+    made = materialize(preprocess.preprocess(scan).select("original_idx", F.md5("text").alias("text_md5"), "token_len", "file_name", "function_name"))
+    delete(spark, path)
+    return made
+
+
+@query("dense_index", "select count(*) as n, count(*) as numbers, case when count(*) > 0 then 0::bigint end as lowest, case when count(*) > 0 then count(*) - 1 end as highest from documents")
+def dense_index(spark, d):
+    """Which row has which number depends on the scan, so what makes the index dense is compared."""
+    i = F.col("original_idx")
+    made = with_row_index(read_table(spark, d, "documents").select("doc_id"))
+    return made.agg(F.count(i).alias("n"), F.count_distinct(i).alias("numbers"), F.min(i).alias("lowest"), F.max(i).alias("highest"))
+
+
 @query("token_len", f"with {TOKENS} select * from tokens")
 def token_len(spark, d):
     return _tokens(spark, d)
@@ -215,9 +245,7 @@ def triplet_sample(spark, d):
     join texts n on n.split = s.split and n.new_idx = s.negative""",
 )
 def triplet_rows(spark, d):
-    index = materialize(_index(spark, d))
-    made = triplets.triplet_texts(triplets.triplet_sample(index), split.pools(functions_view(spark, d), index))
-    return made.select("split", "anchor_idx", *[F.md5(r).alias(r) for r in collate.ROLES])
+    return _triplets(spark, d).select("split", "anchor_idx", *[F.md5(r).alias(r) for r in collate.ROLES])
 
 
 @query("instruction_prefix", f"select doc_id, md5('{collate.INSTRUCTION}' || text) as text_md5 from documents")
@@ -234,10 +262,14 @@ _FITTED = f"""with cut as (select doc_id, list_slice({_IDS}, 1, {collate.MAX_LEN
 fitted as (select doc_id, list_concat({_PAD}, ids) as input_ids, list_concat({_PAD}, list_transform(ids, lambda x: 1)) as attention_mask from cut)"""
 
 
+def _word_lengths(text):
+    """They stand in for token ids."""
+    return F.transform(F.split(text, " ", -1), lambda w: F.length(w))
+
+
 def _ids(spark, d):
-    """Word lengths stand in for token ids."""
     docs = read_table(spark, d, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.transform(F.split("text", " ", -1), lambda w: F.length(w)).alias("ids"))
+    return docs.select("doc_id", _word_lengths(F.col("text")).alias("ids"))
 
 
 @query(
@@ -254,6 +286,27 @@ def length_check(spark, d):
     return collate.wrong_lengths(collate.truncate_pad(_ids(spark, d)))
 
 
+def _role_sql(role: str) -> str:
+    words = f"string_split('{collate.INSTRUCTION}' || {role}.text, ' ')"
+    ids = f"list_slice(list_transform({words}, lambda w: length(w)), 1, {collate.MAX_LENGTH})"
+    pad = f"list_transform(range({collate.MAX_LENGTH} - len({ids})), lambda x: 0)"
+    ones = f"list_transform({ids}, lambda x: 1)"
+    return ", ".join(f"md5(array_to_string(list_concat({pad}, {x}), ',')) as {role}_{name}" for name, x in (("input_ids", ids), ("attention_mask", ones)))
+
+
+@query(
+    "collate",
+    f"""with {SAMPLE}, texts as (select split, new_idx, text from idx join fn using (original_idx))
+    select s.split, s.anchor as anchor_idx, {", ".join(map(_role_sql, collate.ROLES))} from sample s
+    join texts anchor on anchor.split = s.split and anchor.new_idx = s.anchor join texts positive on positive.split = s.split and positive.new_idx = s.positive
+    join texts negative on negative.split = s.split and negative.new_idx = s.negative""",
+)
+def collate_triplets(spark, d):
+    """The six arrays of every triplet, as digests."""
+    made = collate.collate(_triplets(spark, d), _word_lengths)
+    return made.select("split", "anchor_idx", *[F.md5(_joined(f"{r}_{x}")).alias(f"{r}_{x}") for r in collate.ROLES for x in ("input_ids", "attention_mask")])
+
+
 def _hidden(spark, d):
     """Vectors as sequences of 16 steps of 4; the mask's length varies with the id, and one batch pads right."""
     e = read_table(spark, d, "embeddings")
@@ -296,8 +349,14 @@ _DIST = "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: pow(z[1]::do
     from v where pos is not null and neg is not null""",
 )
 def triplet_loss(spark, d):
-    """Vectors of one label are positives; the single-task window serves this fixture alone."""
-    e = read_table(spark, d, "embeddings").withColumn("positive", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id")))
-    e = e.withColumn("negative", F.lead("embedding").over(Window.orderBy(F.col("vec_id") % 7, "vec_id")))
+    """The next vector of a label is the positive, the next one in the order of (id mod 7, id)
+    the negative. Each remainder is ordered by itself; its last vector is followed by the first
+    of the next remainder that there is, so that no window holds all vectors."""
+    e = read_table(spark, d, "embeddings").withColumn("r", F.col("vec_id") % 7)
+    firsts = e.groupBy("r").agg(F.min_by("embedding", "vec_id").alias("first"))  # 7 rows at most
+    after = firsts.select("r", F.lead("first").over(Window.orderBy("r")).alias("after"))
+    following = F.lead("embedding").over(Window.partitionBy("r").orderBy("vec_id"))
+    e = e.withColumn("positive", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).withColumn("following", following)
+    e = e.join(F.broadcast(after), "r").withColumn("negative", F.coalesce("following", "after"))
     rows = e.filter("positive is not null and negative is not null").withColumnRenamed("embedding", "anchor")
     return loss.triplet_loss(rows, digits=6)

@@ -41,6 +41,11 @@ def discard(*tables: DataFrame | None) -> None:
     for table in tables:
         path = getattr(table, "__dict__", {}).get("_staged_at")
         if path is not None:
-            sc = table.sparkSession.sparkContext
-            where = sc._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            delete(table.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, on whatever file system Spark finds it."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)

@@ -114,6 +114,18 @@ def test_triplets_avoid_the_group(spark):
     assert triplets.triplet_sample(split.reindex(alone, split.group_split(alone))).count() == 0
 
 
+def test_handle_is_made_once_per_worker(spark):
+    def factory():
+        from itertools import count
+
+        calls = count(1)
+        return lambda text: next(calls)
+
+    rows = spark.range(50).repartition(1).selectExpr("cast(id as string) as text")
+    made = rows.select(X.tokenizer_len(X.PerWorker(factory))("text").alias("n"))
+    assert sorted(r.n for r in made.collect()) == list(range(1, 51))
+
+
 def test_collate(spark):
     df = spark.createDataFrame([([1, 2, 3, 4, 5],), ([1, 2, 3],), ([1],), ([],)], "ids array<int>")
     got = [(r.input_ids, r.attention_mask) for r in collate.truncate_pad(df, length=3, pad_id=9).collect()]
