@@ -17,7 +17,7 @@ from quarryline.sources.tables import read_table  # noqa: F401
 
 U64 = np.uint64
 #: Bytes of text that one round of array operations takes; bounds a worker's memory.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def free_shuffles(spark: SparkSession) -> None:

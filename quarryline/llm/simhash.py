@@ -72,7 +72,7 @@ DEALS = 2
 #: Links that a task holds before it reduces them to spanning stars.
 HELD = 1 << 20
 #: Bytes of text hashed at a time, and hashes counted at a time.
-PART, BLOCK = 1 << 20, 1 << 16
+PART, BLOCK = 1 << 19, 1 << 16
 
 # ---------------------------------------------------------------- fingerprints
 
