@@ -13,8 +13,9 @@ Each distinct fingerprint goes into the search once, whatever the number of its
 documents. It is sent under its key in each group and, as a visitor, under the
 keys within the threshold, packed by ranges of keys. A key's rows are compared as
 arrays, and only a spanning star of the links found is returned, never all pairs.
-Ranges of far more rows than meant are taken apart by single keys. Rows are counted per
-key, in whatever range: those of keys with more than ``HOT`` are handed on instead of
+Ranges of far more rows than meant are taken apart by single keys. Pairs are counted per
+key, in whatever range, as rows at home times all rows, since visitors aren't compared with
+each other: the rows of keys with more than ``HOT`` squared are handed on instead of
 compared, and first meet one row of the key's commonest fingerprint. Those that link to
 it are connected, so only pairs with one of the others are left. If these are many and no
 fingerprint is hot itself, the key's rows are dealt again, ``DEALS`` times at most, by
@@ -63,10 +64,13 @@ SAMPLE = 20_000
 WIDE, FINGERPRINTS, NEAR, BOTH = 5, 5, 8, 24
 #: The similarity that links, as a fraction; shingles of a block of sets that one task compares.
 SIMILAR, SET_BLOCK = (4, 5), 1 << 18
-#: Cost of a row sent, in pairs compared: about a microsecond against five nanoseconds.
-ROW_COST = 200.0
-#: Rows of one key above which it is dealt again, and rows that one group of keys is meant to hold.
-HOT, GROUP = 4_096, 1 << 18
+#: Cost of a row sent, in pairs compared: about a microsecond against a little over one nanosecond.
+ROW_COST = 800.0
+#: A key is hot if it compares more pairs, its rows at home times all its rows, than so many squared; its rows
+#: are then taken apart by blocks of so many. Rows that one group of keys is meant to hold.
+HOT, GROUP = 1 << 14, 1 << 18
+#: Pairs from which a key is compared by itself, in tiles, and pairs of a tile.
+WIDE_KEY, TILE = 1 << 12, 1 << 15
 #: How often a hot key's rows are dealt again: each time copies them ``radius + 1`` times.
 DEALS = 2
 #: Links that a task holds before it reduces them to spanning stars.
@@ -363,12 +367,13 @@ def _deal_again(hot: DataFrame, radius: int) -> DataFrame:
 
 
 def _hot_keys(sent: DataFrame, hot: int) -> DataFrame:
-    """(key, c, most, used, p) of the keys with more than ``hot`` rows, one at home at least: rows,
+    """(key, c, most, used, p) of the keys whose rows at home times all rows exceed ``hot`` squared: rows,
     rows of the commonest fingerprint, bits used, and a row at home of the commonest there."""
     home = F.min(F.when(F.col("home"), F.struct("node", "fp", "other"))).alias("p")
-    by = sent.groupBy("key", "fp").agg(F.count(F.lit(1)).alias("c"), F.max("used").alias("used"), home)
+    by = sent.groupBy("key", "fp").agg(F.count(F.lit(1)).alias("c"), F.count_if("home").alias("h"), F.max("used").alias("used"), home)
     at = F.max(F.when(F.col("p").isNotNull(), F.struct("c", "p"))).getField("p").alias("p")
-    return by.groupBy("key").agg(F.sum("c").alias("c"), F.max("c").alias("most"), F.max("used").alias("used"), at).filter(F.col("c") > hot)
+    of_key = by.groupBy("key").agg(F.sum("c").alias("c"), F.sum("h").alias("h"), F.max("c").alias("most"), F.max("used").alias("used"), at)
+    return of_key.filter(F.col("c") * F.col("h") > hot * hot).drop("h")
 
 
 def _against_pivot(sent: DataFrame, big: DataFrame, radius: int, both: int) -> DataFrame:
@@ -380,12 +385,15 @@ def _against_pivot(sent: DataFrame, big: DataFrame, radius: int, both: int) -> D
 
 
 def _blocks(rows: DataFrame, hot: int) -> DataFrame:
-    """Blocks of the rows that don't link to their key's pivot, each with every block of all the key's rows."""
+    """Blocks of the rows that don't link to their key's pivot, each with the others of these, once a
+    pair, and with every block of the rest; a block compares its own rows wherever it meets another."""
+    nf, nb = (F.ceil(n / hot).cast("int") for n in (F.col("n_open"), F.col("c") - F.col("n_open")))
+    at = F.xxhash64("node", F.lit("f"))
+    own = F.when(F.col("ok"), nf + F.pmod(at, F.greatest(nb, F.lit(1)))).otherwise(F.pmod(at, nf)).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.when(F.col("ok"), nf).otherwise(nf + nb) - 1))
     columns = ["key", *NODE, "home"]
-    count = {"f": F.ceil(F.col("n_open") / hot).cast("int"), "b": F.ceil(F.col("c") / hot).cast("int")}
-    own = lambda name: F.pmod(F.xxhash64("node", F.lit(name)), count[name]).cast("int").alias(name)
-    every = lambda name: F.explode(F.sequence(F.lit(0), count[name] - 1)).alias(name)
-    return rows.filter("not ok").select(*columns, own("f"), every("b")).union(rows.select(*columns, every("f"), own("b")))
+    pairs = rows.select(*columns, own.alias("x"), met.alias("y"), (nf + nb).alias("n")).filter("x <> y or n = 1")
+    return pairs.select(*columns, F.least("x", "y").alias("f"), F.greatest("x", "y").alias("b"))
 
 
 def links_of_keys(key: np.ndarray, node: np.ndarray, fp: np.ndarray, other: np.ndarray, home: np.ndarray, radius: int, both: int) -> tuple[np.ndarray, np.ndarray]:
@@ -396,28 +404,49 @@ def links_of_keys(key: np.ndarray, node: np.ndarray, fp: np.ndarray, other: np.n
     root = np.arange(len(nodes))
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
+    held = 0
+
+    def hold(i: np.ndarray, j: np.ndarray) -> None:
+        """Links the rows i and j, whose ``fp`` are near, if ``other`` agrees; those known to be connected are left out."""
+        nonlocal held
+        if both > radius:
+            keep = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(other[i] ^ other[j]) <= both
+            i, j = i[keep], j[keep]
+        u, v = number[i], number[j]
+        new = root[u] != root[v]
+        a.append(u[new])
+        b.append(v[new])
+        held += len(a[-1])
+        if held > HELD:
+            settle()
 
     def settle() -> None:
+        nonlocal held
         own = np.flatnonzero(root != np.arange(len(root)))
         root[:] = local_roots(np.concatenate([own, *a]), np.concatenate([root[own], *b]), len(root))
         a.clear()
         b.clear()
-
-    end = np.searchsorted(key, key, "right")
-    at = np.flatnonzero(home)
-    step, held = 1, 0
+        held = 0
+
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate((first, [len(key)])))
+    homes = np.add.reduceat(home, first, dtype=np.int64) if len(key) else size
+    wide = homes * size >= WIDE_KEY
+    for at, n, h in zip(first[wide].tolist(), size[wide].tolist(), homes[wide].tolist(), strict=True):
+        done, end = at, at + n
+        while done < at + h:  # some rows at home against all from there on
+            rows, width = min(at + h - done, max(1, TILE // (end - done))), end - done
+            near = np.flatnonzero(np.bitwise_count(fp[done : done + rows, None] ^ fp[done:end]) <= radius)
+            i, j = near // width, near % width
+            hold(done + i[j > i], done + j[j > i])
+            done += rows
+    end = np.repeat(first + size, size)
+    at = np.flatnonzero(home & ~np.repeat(wide, size))
+    step = 1
     while len(at):
         at = at[at + step < end[at]]
-        differ = np.bitwise_count(fp[at] ^ fp[at + step])
-        near = at[differ <= radius]
-        if both > radius:
-            near = near[np.bitwise_count(fp[near] ^ fp[near + step]) + np.bitwise_count(other[near] ^ other[near + step]) <= both]
-        a.append(number[near])
-        b.append(number[near + step])
-        held += len(near)
-        if held > HELD:
-            settle()
-            held = 0
+        near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
+        hold(near, near + step)
         step += 1
     settle()
     linked = np.flatnonzero(root != np.arange(len(nodes)))
@@ -425,9 +454,9 @@ def links_of_keys(key: np.ndarray, node: np.ndarray, fp: np.ndarray, other: np.n
 
 
 def _outcome(key, node, fp, other, home, used, radius: int, both: int, hot: int) -> pa.Table:
-    """The links of the keys with ``hot`` rows or fewer, and the rows of the others."""
+    """The links of the keys that aren't hot, and the rows of the others."""
     _, place, size = np.unique(key, return_inverse=True, return_counts=True)
-    later = size[place] > hot
+    later = (np.bincount(place[home], minlength=len(size)) * size > hot * hot)[place]
     now = ~later
     u, v = links_of_keys(key[now], node[now], fp[now], other[now], home[now], radius, both)
     rows = _row_batch(*[x[later] for x in (key, node, fp, other, home, used)])

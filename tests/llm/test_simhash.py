@@ -216,6 +216,45 @@ def test_hot_key_in_a_range_of_normal_size(spark):
     assert got.tolist() == graph.local_roots(*np.nonzero(np.bitwise_count(f[:, None] ^ f) <= 3), len(fps)).tolist()
 
 
+def key_of_rows(homes, visitors):
+    """One key's rows as arrays: key, node, fp, other, home, used; near fingerprints among them."""
+    rng = random.Random(homes)
+    bases = [rng.getrandbits(64) for _ in range(12)]
+    n = homes + visitors
+    fp = np.array([flipped(rng, rng.choice(bases), rng.randrange(7)) for _ in range(n)], np.uint64)
+    other = np.array([flipped(rng, 9, rng.randrange(9)) for _ in range(n)], np.uint64)
+    home = np.array(rng.sample([True] * homes + [False] * visitors, n))
+    return np.full(n, 77, np.uint64), np.arange(n), fp, other, home, np.zeros(n, np.uint64)
+
+
+def test_visitors_do_not_make_a_key_hot():
+    rows = key_of_rows(60, 900)
+    calm = simhash._outcome(*rows, 5, 9, 300)  # 960 rows, 57,600 pairs of 90,000
+    assert calm.column("key").null_count == calm.num_rows
+    _, _, fp, other, home, _ = rows
+    far = np.bitwise_count(fp[:, None] ^ fp)
+    a, b = np.nonzero((far <= 5) & (far + np.bitwise_count(other[:, None] ^ other) <= 9) & (home[:, None] | home))
+    found = graph.local_roots(*(calm.column(c).to_numpy() for c in "uv"), len(fp))
+    assert len(set(found.tolist())) < len(fp) and found.tolist() == graph.local_roots(a, b, len(fp)).tolist()
+    hot = simhash._outcome(*key_of_rows(101, 900), 5, 9, 300)
+    assert hot.column("key").null_count == 0 and hot.num_rows == 1001
+
+
+@pytest.mark.parametrize(("wide", "tile", "held"), [(1, 1, 1 << 20), (1, 500, 40), (1, 1 << 15, 1 << 20), (1 << 40, 1, 40)])
+def test_tiles_compare_every_pair(monkeypatch, wide, tile, held):
+    for name, value in (("WIDE_KEY", wide), ("TILE", tile), ("HELD", held)):
+        monkeypatch.setattr(simhash, name, value)
+    parts = [key_of_rows(h, v) for h, v in ((50, 200), (1, 30), (0, 20), (120, 0), (1, 0))]
+    key = np.concatenate([np.full(len(p[0]), k, np.uint64) for k, p in enumerate(parts)])
+    _, _, fp, other, home, _ = (np.concatenate(c) for c in zip(*parts, strict=True))
+    node = np.arange(len(key)) % 300  # some nodes come under several keys
+    far = np.bitwise_count(fp[:, None] ^ fp)
+    for both in (5, 9):
+        a, b = np.nonzero((far <= 5) & (far + (both > 5) * np.bitwise_count(other[:, None] ^ other) <= both) & (home[:, None] | home) & (key[:, None] == key))
+        found = graph.local_roots(*simhash.links_of_keys(key, node, fp, other, home, 5, both), 300)
+        assert found.tolist() == graph.local_roots(node[a], node[b], 300).tolist()
+
+
 def similar_pair(rng, low, high):
     """Two texts whose similarity lies in a range, and the similarity."""
     while True:
